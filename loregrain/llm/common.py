@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Turns A-Z into a-z and leaves every other byte, those of UTF-8 sequences too.
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -77,3 +79,56 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(width):
         h = mix(h + words[i : n - width + 1 + i] * np.uint64(2 * i + 0x9E3779B97F4A7C15))
     return np.unique(h)
+
+
+def groups_of(batches, key: str, at_once: int = 1) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows with equal key, from batches sorted by it; small groups come together, up to at_once rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        if held and held[-1].column(key)[-1].as_py() != keys[0] and size >= at_once:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        start = 0
+        for cut in np.flatnonzero(keys[1:] != keys[:-1]) + 1:
+            if size + cut - start >= at_once:
+                held.append(batch.slice(start, cut - start))
+                yield pa.Table.from_batches(held)
+                held, size, start = [], 0, int(cut)
+        held.append(batch.slice(start))
+        size += batch.num_rows - start
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def ddl(schema, *names: str) -> str:
+    """The named columns of a schema, or all of them, as DDL."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if not names or f.name in names)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of edges (a, b) reaches. Nodes without an edge have no row.
+
+    Alternates large-star and small-star steps on distinct edges until they change nothing; each round is written to the
+    shared folder, so a lost executor costs one round at most, and no node's neighbours are ever gathered in one task.
+    """
+    now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    seen = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        now = staged(small.where("a <> b").distinct(), "edges")
+        # stars are done: as many edges as nodes that have a smaller one, and the sums stay the same
+        state = tuple(now.agg(F.count("*"), F.countDistinct("a"), F.sum(F.col("b").cast("decimal(38,0)"))).first())
+        if state == seen or not state[0]:
+            break
+        seen = state
+    stars = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    roots = stars.select(F.col("component").alias("node"), "component").distinct()
+    return stars.unionByName(roots)

@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
+from .decontaminate import contaminated
+from .jaccard_join import Likeness, jaccard_components
 from .line_dedup import line_dedup_digest
+from .pii import pii_report
 from .quality_rules import quality_report
+from .secret_scan import secret_report
+from .suffix_dedup import suffix_digest
+from .url_filter import url_verdicts
+from .warc import warc_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +53,68 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), Likeness(words=4, percent=85))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(_table(spark, sf_dir, "documents"), length=400)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_digest(_table(spark, sf_dir, "pages"), least=1000)
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+best AS (SELECT payload_digest, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN best IS NULL OR best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN best <> page_id THEN best END AS refers_to
+FROM p LEFT JOIN best USING (payload_digest)
+"""
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+ALL = (
+    op1_ngram_jaccard_join,
+    op2_url_filter,
+    op3_suffix_dedup,
+    op4_line_dedup,
+    op5_quality_rules,
+    op6_warc,
+    op7_pii,
+    op8_secret_scan,
+    op9_decontamination,
+    op10_bpe,
+    pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_dedup, op5_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op6_warc": OP6_SQL}
