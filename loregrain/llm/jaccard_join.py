@@ -6,11 +6,11 @@ The boundary is where listing subsets begins to cost more rows than an inverted
 
 Heavy sets. Shingles are dealt by hash into slices, one more than a linked pair of that size class may differ in, so that a
 linked pair has a slice that is the same in both. Inverted lists are kept by slice; each set is looked for in the lists of its size
-class and of the next one, into which a larger partner may fall. An empty slice says nothing: a few spare slices are added, and
-only sets with more empty slices than that list them too, which loses no pair.
+class and of the next one, into which a larger partner may fall. Slices of very few shingles are equal in many unlike sets: spare
+slices are added, sets leave out their weak slices, and only sets with more weak than spare slices list all, which loses no pair.
 
-Equal sets are one class and are joined as one. The lists only chain their members together; families, the components of
-those chains, are then scanned exactly: breadth first, a set at a time against all sets of its family that no link has reached
+Equal sets are one class and are joined as one. The members of a list are tied together where their sizes and sketches, counts of
+shingles by bucket, allow a link, or all of them in lists too long for that; families, the components of those ties, are then scanned exactly: breadth first, a set at a time against all sets of its family that no link has reached
 yet, so a group of copies takes a few scans and not all its pairs. A family of more than ``FAMILY`` shingles is dealt into blocks and
 each pair of blocks is scanned by a task of its own.
 
@@ -35,6 +35,10 @@ from pyspark.sql import functions as F
 from .common import LOWER_ASCII, WordHashes, components, groups_of, mix, rows_of, shingle_hashes, staged
 
 FAMILY = 2_000_000
+#: Slices of up to so many shingles are weak: they are equal in many unlike sets.
+WEAK = 1
+#: Sets in a list from which on they are tied together unseen.
+CROWD = 4096
 
 
 @dataclass(frozen=True)
@@ -70,24 +74,24 @@ class Likeness:
 
     def slices(self, most: int) -> tuple[int, int]:
         """(slices, spare ones among them) for pairs whose larger set has up to most shingles."""
-        need = self.differ(most, most) + 1
-        need = max(need, *(self.differ(m, most) + 1 for m in range(self.smallest(most), most + 1)))
+        need = max(self.differ(m, most) + 1 for m in range(self.smallest(most), most + 1))
         best = None
-        for spare in range(4):
+        for spare in range(need + 4):
             d = need + spare
-            empty = d * math.exp(-0.8 * most / d)
-            beyond = 1 - sum(math.exp(-empty) * empty**i / math.factorial(i) for i in range(spare + 1))
+            mean = most * 0.87 / d  # of shingles in a slice, for the smaller sets of the class
+            weak = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(WEAK + 1))
+            beyond = math.erfc((spare + 0.5 - d * weak) / math.sqrt(2 * d * weak * (1 - weak))) / 2
             if best is None or beyond < best[0]:
                 best = (beyond, d, spare)
-            if beyond < 1e-3:
+            if beyond < 0.02:
                 break
         return best[1], best[2]
 
     def classes(self, up_to: int) -> list[int]:
         """The largest sizes of the size classes of heavy sets."""
-        out = [max(self.boundary() + 1, self.boundary() * 3 // 2)]
+        out = [self.boundary() + 2]
         while out[-1] < up_to:
-            out.append(out[-1] * 4 // 3)
+            out.append(max(out[-1] + 1, out[-1] * 6 // 5))
         return out
 
 
@@ -110,7 +114,10 @@ class Signatures:
         cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
         sums = np.add.reduceat(mix(s)[order], cut)
         used = where[cut]
-        if d - len(used) > spare:
+        strong = np.diff(np.r_[cut, len(s)]) > WEAK
+        if d - int(strong.sum()) <= spare:  # a linked pair has an equal slice among the strong ones
+            used, sums = used[strong], sums[strong]
+        else:
             none = np.setdiff1d(np.arange(d, dtype=np.uint64), used)
             used, sums = np.r_[used, none], np.r_[sums, np.zeros(len(none), np.uint64)]
         return mix(sums + mix(used + np.uint64(most << 32)))
@@ -121,9 +128,8 @@ class Signatures:
         if n <= self.light:
             h = mix(s)
             for c in like.subset_sizes(n, self.light):
-                total = h.sum()
-                subsets = [total - sum((h[i] for i in left), np.uint64(0)) for left in combinations(range(n), n - c)]
-                out.append(mix(np.array(subsets, np.uint64) + np.uint64(c)))
+                left_out = np.array(list(combinations(range(n), n - c)), np.int64).reshape(math.comb(n, c), n - c)
+                out.append(mix(np.full(len(left_out), h.sum()) - h[left_out].sum(axis=1, dtype=np.uint64) + np.uint64(c)))
         reach = like.largest(n)
         if reach > self.light:
             low = max(n, self.light + 1)
@@ -140,8 +146,23 @@ def _sets(texts, words: int, known: WordHashes):
         yield shingle_hashes(known.of((text or "").encode().translate(LOWER_ASCII).split()), words)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of about n / 8 buckets. Sets differ in at least as many shingles as their sketches do."""
+    buckets = 8
+    while buckets * 8 < len(s):
+        buckets *= 2
+    counts = np.bincount((mix(s) >> np.uint64(40)).astype(np.int64) % buckets, minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of a matrix, those with more buckets folded to the fewest."""
+    width = min(map(len, sketches))
+    return np.stack([np.frombuffer(x, np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int64) for x in sketches])
+
+
 def _sizes(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, n and the 128-bit hash of each row's set."""
+    """doc_id, n, the 128-bit hash and the sketch of each row's set."""
 
     def run(batches):
         known = WordHashes()
@@ -149,10 +170,11 @@ def _sizes(docs: DataFrame, like: Likeness) -> DataFrame:
             out = []
             for (doc_id, _), s in zip(rows, _sets([t for _, t in rows], like.words, known), strict=True):
                 key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                out.append((doc_id, len(s), int(key[0]), int(key[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "n", "k1", "k2"])
+                out.append((doc_id, len(s), int(key[0]), int(key[1]), sketch(s)))
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n", "k1", "k2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch binary")
 
 
 LIST_ROWS = "sig long, a long, b long"
@@ -163,14 +185,15 @@ def _batch(sig, a, b) -> pa.RecordBatch:
 
 
 def _chained(sigs: list[np.ndarray], keys: list[np.ndarray]) -> list[pa.RecordBatch]:
-    """A task's part of the lists: its first set in each (b is null), and an edge (a, b) from that to each other one."""
+    """A task's part of the lists. Of a list with more than ``CROWD`` of its sets only the first goes on (b is null); edges (a, b) tie the others to it."""
     sig, key = np.concatenate(sigs).view(np.int64), np.concatenate(keys)
     order = np.argsort(sig, kind="stable")
     sig, key = sig[order], key[order]
     first = np.r_[True, sig[1:] != sig[:-1]]
-    head = key[first][np.cumsum(first) - 1]
-    edges = np.unique(np.c_[head[~first], key[~first]], axis=0)
-    return [_batch(sig[first], key[first], None), _batch(edges[:, 0], edges[:, 0], edges[:, 1])]
+    part = np.cumsum(first) - 1
+    tied = ~first & (np.bincount(part)[part] > CROWD)
+    edges = np.unique(np.c_[key[first][part][tied], key[tied]], axis=0)
+    return [_batch(sig[~tied], key[~tied], None), _batch(edges[:, 0], edges[:, 0], edges[:, 1])]
 
 
 def _listed(docs: DataFrame, like: Likeness) -> DataFrame:
@@ -202,25 +225,92 @@ def _listed(docs: DataFrame, like: Likeness) -> DataFrame:
     return docs.where("doc_id is not null").select("text").mapInArrow(run, LIST_ROWS)
 
 
-def _chains(listed: DataFrame) -> DataFrame:
-    """Distinct edges (a, b) that tie the members of each list together. A list is read as a stream and never held."""
+def _shared_lists(listed: DataFrame) -> DataFrame:
+    """(list, a, b): the members of each different list of two sets or more, or where b is not null, edges.
+
+    Lists are read as a stream. Those with equal members are the same list. One of more than ``CROWD`` sets is tied together by edges.
+    """
 
     def run(batches):
-        last, head = None, None
-        for batch in batches:
-            ready = batch.filter(batch.column("b").is_valid())
-            yield ready.select(["a", "b"])
-            lists = batch.filter(batch.column("b").is_null())
-            if not lists.num_rows:
+        seen: set[int] = set()
+        sig, key = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def lists(sig, key):
+            cut = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])
+            size = np.diff(cut)
+            for start, n in zip(cut[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                own = np.unique(key[start : start + n])
+                if len(own) > CROWD:
+                    yield np.zeros(len(own) - 1, np.int64), np.full(len(own) - 1, own[0]), own[1:]
+                elif len(own) > 1:
+                    name = int(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)[0])
+                    if name not in seen:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(name)
+                        yield np.full(len(own), name), own, None
+
+        def batch(found):
+            plain, edges = [x for x in found if x[2] is None], [x for x in found if x[2] is not None]
+            for some in (plain, edges):
+                if some:
+                    name, a, b = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(name)), pa.array(np.concatenate(a)), pa.nulls(sum(map(len, a)), pa.int64()) if b[0] is None else pa.array(np.concatenate(b))], ["list", "a", "b"])
+
+        for new in batches:
+            edges = new.filter(new.column("b").is_valid())
+            if edges.num_rows:
+                yield pa.RecordBatch.from_arrays(edges.columns, ["list", "a", "b"])
+            new = new.filter(new.column("b").is_null())
+            if not new.num_rows:
                 continue
-            sig, key = lists.column("sig").to_numpy(), lists.column("a").to_numpy()
-            first = np.r_[last is None or sig[0] != last, sig[1:] != sig[:-1]]
-            heads = np.r_[0 if head is None else head, key[first]][np.cumsum(first)]
-            last, head = sig[-1], heads[-1]
-            other = heads != key
-            yield pa.RecordBatch.from_arrays([pa.array(heads[other]), pa.array(key[other])], ["a", "b"])
+            sig, key = np.r_[sig, new.column("sig").to_numpy()], np.r_[key, new.column("a").to_numpy()]
+            open_ = int(np.searchsorted(sig, sig[-1]))
+            yield from batch(list(lists(sig[:open_], key[:open_])))
+            sig, key = sig[open_:], key[open_:]
+            if len(sig) > 10 * CROWD:  # a list without end: what came so far is tied together
+                yield pa.RecordBatch.from_arrays([pa.array(sig[1:]), pa.array(np.full(len(key) - 1, key[0])), pa.array(key[1:])], ["list", "a", "b"])
+                sig, key = sig[:1], key[:1]
+        if len(sig):
+            yield from batch(list(lists(sig, key)))
+
+    return listed.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "list long, a long, b long")
 
-    return listed.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+
+def _chains(shared: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """Edges (a, b) that tie together the sets of each list which may be linked by their sizes and sketches."""
+    members = shared.where("b is null").select("list", "a").distinct()
+    sketched = members.join(classes.select(F.col("k1").alias("a"), "n", "sketch"), "a").select("list", "a", "n", "sketch")
+
+    def run(batches):
+        for table in groups_of(batches, "list", 4096):
+            name, a, n = (table[c].to_numpy() for c in ("list", "a", "n"))
+            sketches = table["sketch"].to_pylist()
+            cut = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True])
+            out = []
+            for start, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if end - start < 2:
+                    continue
+                rows, size = folded(sketches[start:end]), n[start:end]
+                left = np.arange(1, end - start)
+                queue = [0]
+                while len(left):
+                    if not queue:
+                        queue.append(int(left[0]))
+                        left = left[1:]
+                        continue
+                    i = queue.pop()
+                    both = size[left] + size[i]
+                    apart = both - 2 * -(-like.percent * both // (100 + like.percent))
+                    near = np.abs(rows[left] - rows[i]).sum(axis=1) <= apart
+                    out += [(a[start + i], a[start + j]) for j in left[near].tolist()]
+                    queue += left[near].tolist()
+                    left = left[~near]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    edges = sketched.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long")
+    return edges.unionByName(shared.where("b is not null").select("a", "b")).distinct()
 
 
 def _scan(sets: list[np.ndarray], mine: np.ndarray, both: bool, percent: int) -> list[tuple[int, int]]:
@@ -292,8 +382,9 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFram
     """doc_id, n_shingles and component_id of every row: the least doc_id that it reaches by links, itself included."""
     sizes = staged(_sizes(docs, like), "jaccard-sizes")
     full = sizes.where("n > 0 and doc_id is not null")
-    classes = staged(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    families = components(_chains(_listed(docs, like)))
+    classes = staged(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "jaccard-classes")
+    shared = staged(_shared_lists(_listed(docs, like)), "jaccard-lists")
+    families = components(_chains(shared, classes, like))
     members = classes.join(families, classes["k1"] == families["node"]).select(F.col("rep").alias("doc_id"), "k1", "n", F.col("component").alias("family"))
     links = _links(docs, staged(members, "jaccard-members"), like)
     # equal sets hang on their class's least row
