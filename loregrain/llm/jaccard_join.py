@@ -39,6 +39,8 @@ FAMILY = 2_000_000
 WEAK = 1
 #: Sets in a list from which on they are tied together unseen.
 CROWD = 4096
+#: Sets in families, of some 40 bytes each, up to which they are broadcast to the texts.
+AT_HAND = 500_000
 
 
 @dataclass(frozen=True)
@@ -354,7 +356,10 @@ def _links(docs: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
     # a set of a family in blocks goes to all pairs of its block with another
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
     dealt = own.withColumn("pair", F.explode(pair)).withColumn("task", F.xxhash64("family", "pair.i", "pair.j")).withColumn("whole", F.col("pair.i") == F.col("pair.j"))
-    texts = docs.select("doc_id", "text").join(dealt.select("doc_id", "k1", "task", "block", "whole"), "doc_id")
+    dealt = dealt.select("doc_id", "k1", "task", "block", "whole")
+    if members.count() <= AT_HAND:  # else the texts are shuffled
+        dealt = F.broadcast(staged(dealt, "jaccard-dealt"))
+    texts = docs.select("doc_id", "text").join(dealt, "doc_id")
 
     def run(batches):
         known = WordHashes()
