@@ -29,12 +29,15 @@ WORDS_AT_ONCE = 200_000
 
 @dataclass(frozen=True)
 class Rules:
-    """min_words and max_repeat_share are the base rules; the rest limits maximal repeated substrings."""
+    """min_words and max_repeat_share are the base rules; the rest limits maximal repeated substrings.
+
+    Words of long repeats also lie in repeated windows, so max_covered_share acts only below max_repeat_share.
+    """
 
     min_words: int = 50
     max_repeat_share: int = 50
     min_repeat: int = 8
-    max_covered_share: int = 50
+    max_covered_share: int = 40
     max_longest: int = 200
 
 
