@@ -138,8 +138,39 @@ def test_line_dedup_and_undo(docs, spark):
     back = line_dedup.delete_documents(line_dedup.add_documents(index, more), more)
     assert rows(back.refs, "hi", "lo", "n_docs") == rows(index.refs, "hi", "lo", "n_docs")
 
-
-def test_quality(docs):
+def longest_repeats(words: list[str]) -> list[int]:
+    """For every position, how many words from it on start elsewhere in the text too."""
+    out = [0] * len(words)
+    for i in range(len(words)):
+        for j in range(len(words)):
+            k = 0
+            while i != j and max(i, j) + k < len(words) and words[i + k] == words[j + k]:
+                k += 1
+            out[i] = max(out[i], k)
+    return out
+
+
+def test_quality(docs, spark):
+    rnd = random.Random(3)
+    passage = [f"p{i}" for i in range(25)]
+    plain = [f"w{i}" for i in range(90)]
+    some = [" ".join(plain), " ".join(plain[:30] + passage + plain[30:65] + passage), " ".join(plain + passage + ["x"] + passage), "a # b\na # b\n\na # b\n" + " ".join(plain)]
+    some += [" ".join(rnd.choice("ab cd ef gh".split()) for _ in range(70)), "", None, " \n\t", " ".join(["same"] * 120)]
+    want = []
+    for i, t in enumerate(some):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        longest = longest_repeats(w)
+        marks = {n: {p for q, k in enumerate(longest) if k >= n for p in range(q, q + (3 if n == 3 else k))} for n in (3, 8)}
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        failed = len(w) < 50 or 100 * len(marks[3]) > 50 * len(w)
+        good = 100 * len(marks[8]) <= 40 * len(w) and max(longest, default=0) <= 200
+        symbols = sum(c in "#*$%&|<>" for c in t or "")
+        want.append((i, len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(marks[3]), failed, good and not failed, len(marks[8]), max(longest, default=0)))
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = quality_rules.quality_report(df)
+    assert rows(got, *got.columns) == Counter(want)
+    assert {i for i, *_, failed, kept, _, _ in want if not failed and not kept} == {1}  # the method's own verdict
+    assert rows(quality_rules.keep_good(df), "doc_id") == Counter((w[0],) for w in want if w[7])
     for r in quality_rules.quality_report(docs).collect():
         assert not (r["base_failed"] and r["kept"])
     assert quality_rules.keep_good(docs).columns == docs.columns
