@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, feeds, ingest, keywords, knowledge
-from ..sources import markup, tables
+from ..operators import evaluate, feeds, ingest, keywords, knowledge, records
+from ..sources import markup, tables, transcripts
 from ..streaming import events as streams
 from .oracle import SQL
 
@@ -337,6 +337,52 @@ def tail_cursor(spark, sf):
     return feeds.tail(tables.table(spark, sf, "events").select("event_id", "user_id", "event_type"), 100)
 
 
+@query
+def current_results(spark, sf):
+    history = tables.table(spark, sf, "events").select("user_id", F.date_format("ts", "yyyyMMdd").alias("batch_id"), "event_id")
+    return records.current_results(history, ["user_id"])
+
+
+@query
+def latest_batches(spark, sf):
+    events = tables.table(spark, sf, "events")
+    batches = events.groupBy(F.date_format("ts", "yyyyMMdd").alias("batch_id")).agg(F.min("event_id").alias("started_at"), F.count("*").alias("input_count"))
+    return records.latest_batches(batches, ["batch_id", "input_count"])
+
+
+@query
+def column_update(spark, sf):
+    events = tables.table(spark, sf, "events")
+    rows = events.where("event_type = 'view'").groupBy("user_id").agg(F.min("event_id").alias("status"), F.max("event_id").alias("score"))
+    scores = events.where("event_type = 'click'").groupBy("user_id").agg(F.max("event_id").alias("score"))
+    return records.updated_columns(rows, scores, ["user_id"])
+
+
+@query
+def compare_and_set(spark, sf):
+    return records.update_where(tables.table(spark, sf, "events").select("event_id", "event_type"), "event_type", ["error", "click"], "queued")
+
+
+@query
+def bounded_groups(spark, sf):
+    return records.bounded_groups(_docs(spark, sf).select("doc_id", "topic_id"), "topic_id", "doc_id", 20)
+
+
+@query
+def transcript_json(spark, sf):
+    turns = tables.table(spark, sf, "conversations")
+    entry = F.struct("turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("").alias("body"), "text")
+    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("segments"))
+    body = F.when(F.col("conv_id") % 2 == 0, F.to_json("segments")).otherwise(F.to_json(F.struct("segments")))
+    return lists.select("conv_id", transcripts.transcript_text(body, F.lit("application/json; charset=utf-8")).alias("text"))
+
+
+@query
+def feed_dates(spark, sf):
+    told = F.concat(F.date_format(F.col("ts").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, " GMT").otherwise(" +0100"))
+    return tables.table(spark, sf, "events").select("event_id", F.unix_seconds(transcripts.feed_date(told)).alias("published_at"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -136,4 +136,14 @@ WHERE status = 'queued' OR (status = 'failed' AND attempts < 3 AND retry_at <= 5
     "stream_tumbling_counts": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "tail_cursor": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 50",
+    "current_results": "SELECT user_id, batch_id, event_id FROM (SELECT user_id, strftime(ts, '%Y%m%d') AS batch_id, event_id, rank() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y%m%d') DESC) AS r FROM events) WHERE r = 1",
+    "latest_batches": "SELECT batch_id, n AS input_count FROM (SELECT strftime(ts, '%Y%m%d') AS batch_id, count(*) AS n, min(event_id) AS s FROM events GROUP BY 1) ORDER BY s DESC, batch_id LIMIT 5",
+    "column_update": """WITH r AS (SELECT user_id, min(event_id) AS status, max(event_id) AS score FROM events WHERE event_type = 'view' GROUP BY user_id),
+c AS (SELECT user_id, max(event_id) AS score FROM events WHERE event_type = 'click' GROUP BY user_id)
+SELECT user_id, r.status, coalesce(c.score, r.score) AS score FROM r FULL JOIN c USING (user_id)""",
+    "compare_and_set": "SELECT event_id, event_type IN ('error', 'click') AS matched, CASE WHEN event_type IN ('error', 'click') THEN 'queued' ELSE event_type END AS event_type FROM events",
+    "bounded_groups": f"""WITH {DOCS}, p AS (SELECT doc_id, topic_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % ((count(*) OVER (PARTITION BY topic_id) + 19) // 20) AS part FROM d)
+SELECT doc_id, topic_id, part, (row_number() OVER (PARTITION BY topic_id, part ORDER BY doc_id) - 1) // 20 AS slice FROM p""",
+    "transcript_json": r"SELECT conv_id, nullif(regexp_replace(string_agg(text, chr(10) ORDER BY turn, CASE WHEN turn % 2 = 0 THEN text ELSE '' END, text), '^\s+|\s+$', '', 'g'), '') AS text FROM conversations GROUP BY conv_id",
+    "feed_dates": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CASE WHEN event_id % 2 = 0 THEN 0 ELSE 3600 END AS published_at FROM events",
 }
