@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -267,3 +268,42 @@ def test_empty_tables(empty, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (jaccard_join.jaccard_components(empty), suffix_dedup.suffix_digest(empty), line_dedup.line_dedup_digest(empty), quality_rules.quality_report(empty), pii.pii_report(empty), secret_scan.secret_report(empty), decontaminate.contaminated(empty, bench), url_filter.url_verdicts(pages), warc.warc_digest(pages)):
         assert df.count() == 0
+
+
+def test_url_filter_learns_from_all_urls(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeü-") for _ in range(rng.randint(2, 7)))
+    urls = {f"{word()}.com/{word()}": "allow" for _ in range(2600)} | {f"{word()}.net/es/{word()}": "block" for _ in range(2600)}
+    urls |= {f"{word()}.org/{word()}/{word()}": None for _ in range(300)}
+    pages = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["host"] + r["path"]: r for r in url_filter.url_verdicts(pages).collect()}
+    hashes = {r["u"]: r["h"] for r in url_filter._distinct_urls(pages, url_filter.RULES).collect()}
+    held = {u for u, v in urls.items() if v and hashes[u] % 5 == 0}
+    held |= {min((u for u in urls if urls[u] == v), key=hashes.get) for v in ("allow", "block")}
+    held -= {max((u for u in urls if urls[u] == v), key=hashes.get) for v in ("allow", "block")}
+    seen = {v: Counter((t[i - k : i], t[i]) for u in urls if urls[u] == v and u not in held for t in [f"^{u}$"] for i in range(1, len(t)) for k in range(min(i, 5) + 1)) for v in ("allow", "block")}
+    after = {v: {} for v in seen}
+    for v, n in seen.items():
+        for (context, c), m in n.items():
+            after[v].setdefault(context, {})[c] = m
+
+    def score(u):
+        t, out = f"^{u}$", 0.0
+        for v, sign in (("block", 1), ("allow", -1)):
+            for i in range(1, len(t)):
+                p = 1 / 256
+                for k in range(min(i, 5) + 1):
+                    n = after[v].get(t[i - k : i], {})
+                    p = (n.get(t[i], 0) + len(n) * p) / (sum(n.values()) + len(n)) if n else p
+                out += sign * math.log(p)
+        return out / (len(t) - 1)
+
+    open_ = {u: score(u) for u, v in urls.items() if not v}
+    assert all(got[u]["score"] == pytest.approx(x, abs=1e-9) for u, x in open_.items())
+    tried = [(score(u), urls[u]) for u in held]
+    wrong = lambda at: sum((x >= at) != (v == "block") and 1 / sum(w == v for _, w in tried) for x, v in tried)
+    marks = [x for x, _ in tried]
+    low = max((x for u, x in open_.items() if got[u]["verdict"] == "allow"), default=-99)
+    high = min((x for u, x in open_.items() if got[u]["verdict"] == "block"), default=99)
+    best = min(map(wrong, [*marks, 99]))
+    assert low < high and min(wrong(at) for at in [low + 1e-12, high, *(m for m in marks if low < m <= high)]) <= best + 0.01
