@@ -23,6 +23,7 @@ not read by ``jaccard_components``; ``one_of_each`` keeps them.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -39,8 +40,6 @@ FAMILY = 2_000_000
 WEAK = 1
 #: Sets in a list from which on they are tied together unseen.
 CROWD = 4096
-#: Sets in families, of some 40 bytes each, up to which they are broadcast to the texts.
-AT_HAND = 500_000
 
 
 @dataclass(frozen=True)
@@ -349,27 +348,35 @@ def _scan(sets: list[np.ndarray], mine: np.ndarray, both: bool, percent: int) ->
     return links
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and the compressed text of each row that has both."""
+
+    def run(batches):
+        for rows in rows_of(batches, "doc_id", "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([zlib.compress(t.encode(), 3) for _, t in rows], pa.binary())], ["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").where("doc_id is not null and text <> ''").mapInArrow(run, "doc_id long, packed binary")
+
+
 def _links(docs: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
     """Spanning links (a, b) between the doc_ids of members (doc_id, k1, n, family)."""
     weight = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(FAMILY)).cast("int").alias("blocks"))
     own = members.join(weight, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # a set of a family in blocks goes to all pairs of its block with another
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
-    dealt = own.withColumn("pair", F.explode(pair)).withColumn("task", F.xxhash64("family", "pair.i", "pair.j")).withColumn("whole", F.col("pair.i") == F.col("pair.j"))
-    dealt = dealt.select("doc_id", "k1", "task", "block", "whole")
-    if members.count() <= AT_HAND:  # else the texts are shuffled
-        dealt = F.broadcast(staged(dealt, "jaccard-dealt"))
-    texts = docs.select("doc_id", "text").join(dealt, "doc_id")
+    # merged at every size: neither ids nor texts are broadcast
+    texts = _packed(docs).join(own.select("doc_id", "k1", "family", "block", "blocks").hint("merge"), "doc_id").withColumn("pair", F.explode(pair))
+    texts = texts.withColumn("task", F.xxhash64("family", "pair.i", "pair.j")).withColumn("whole", F.col("pair.i") == F.col("pair.j"))
 
     def run(batches):
         known = WordHashes()
         for table in groups_of(batches, "task"):
             sets, ids, blocks, seen = [], [], [], set()
-            cols = (table[c].to_pylist() for c in ("doc_id", "k1", "block", "text"))
-            for doc_id, k1, block, text in zip(*cols, strict=True):
+            cols = (table[c].to_pylist() for c in ("doc_id", "k1", "block", "packed"))
+            for doc_id, k1, block, packed in zip(*cols, strict=True):
                 if (doc_id, k1) in seen:
                     continue
-                (s,) = _sets([text], like.words, known)
+                (s,) = _sets([zlib.decompress(packed).decode()], like.words, known)
                 if int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) == k1:  # else another row of the same doc_id
                     seen.add((doc_id, k1))
                     sets.append(s)
@@ -380,7 +387,7 @@ def _links(docs: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], ["a", "b"])
 
-    return texts.repartition("task").sortWithinPartitions("task").select("task", "doc_id", "k1", "block", "whole", "text").mapInArrow(run, "a long, b long")
+    return texts.repartition("task").sortWithinPartitions("task").select("task", "doc_id", "k1", "block", "whole", "packed").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:

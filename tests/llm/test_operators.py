@@ -95,6 +95,16 @@ def test_jaccard_finds_every_pair_of_small_and_large_sets():
             assert abs(x - y).sum() <= n + m - 2 * keep
 
 
+def test_jaccard_links_merge_at_every_size(spark):
+    like = jaccard_join.Likeness()
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e"), (3, "x y z x y"), (None, "a b c d e"), (4, None)], "doc_id long, text string")
+    sizes = jaccard_join._sizes(docs, like).where("doc_id in (1, 2)")
+    links = jaccard_join._links(docs, sizes.selectExpr("doc_id", "k1", "n", "1L as family"), like)
+    assert rows(links, "a", "b") in (Counter([(1, 2)]), Counter([(2, 1)]))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [doc_id" in plan and "BroadcastHashJoin [doc_id" not in plan
+
+
 def test_one_of_each_keeps_columns(docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
