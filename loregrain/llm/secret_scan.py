@@ -3,7 +3,7 @@
 Candidates are runs of at least ``WINDOW`` characters of a class: hex digits, or the letters of base64 and its URL form. A window slides
 over each candidate; its character counts are kept in an array that changes by one character that leaves and one that comes,
 and so is the sum of n * log2(n), which gives the window's Shannon entropy. A candidate is a secret if its best window reaches the
-class's threshold, unless the allow-list knows it or it overlaps a base span, which stays as it is.
+class's threshold, unless the allow-list knows it, it is only a path or it overlaps a base span, which stays as it is.
 
 Spans are those of the whole match. Defined results: null and empty texts have no spans; each row is judged by itself; a null doc_id
 stays null; empty tables give empty results. Only doc_id and text are read by ``secret_report``; ``masked`` keeps all other columns.
@@ -32,15 +32,18 @@ CLASSES = {
     "hex": ("0123456789abcdefABCDEF", 3.2),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 4.0),
 }
-#: What looks random and isn't secret: UUIDs, plain words, digests of integrity attributes, documentation keys, paths.
+#: What looks random and isn't secret: UUIDs, plain words, digests of integrity attributes, documentation keys.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"^[A-Za-z_/=+-]+$",
     r"^[0-9_/=+-]+$",
     r"^sha(?:1|256|384|512)-",
     r"EXAMPLE",
-    r"^(?:[A-Za-z0-9_-]{0,15}/){2,}",
 )
+#: A run that begins like a path is allowed, unless one of its segments is a secret by itself or several are neither words nor numbers.
+PATH = r"^(?:[A-Za-z0-9_-]{0,15}/){2,}"
+WORDS = r"^(?:[A-Za-z]*+[0-9]*+(?:[_=+-]++|$))*+$"
+SLUG = r"^(?:[a-z]*+[0-9]*+(?:[_=+-]++|$))*+$"
 
 
 def best_entropy(text: Column, alphabet: str) -> Column:
@@ -73,8 +76,15 @@ def _allowed(text: Column) -> Column:
     return out
 
 
+def _only_path(text: Column, alphabet: str, bits: float) -> Column:
+    segments = F.split(text, "/", -1)
+    odd = F.size(F.filter(segments, lambda x: ~x.rlike(WORDS)))
+    long_ = F.filter(segments, lambda x: (F.length(x) >= WINDOW) & ~x.rlike(SLUG) & ~_allowed(x))
+    return text.rlike(PATH) & (odd < 2) & ~F.exists(long_, lambda x: best_entropy(x, alphabet) >= bits)
+
+
 def _is_secret(alphabet: str, bits: float):
-    return lambda s: clear_of(s, F.col("__base")) & ~_allowed(s["text"]) & (best_entropy(s["text"], alphabet) >= bits)
+    return lambda s: clear_of(s, F.col("__base")) & ~_allowed(s["text"]) & (best_entropy(s["text"], alphabet) >= bits) & ~_only_path(s["text"], alphabet, bits)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:

@@ -244,6 +244,24 @@ def test_secrets(spark):
     assert secret_scan.masked(df).collect()[2]["text"] == "x [hex] y"
 
 
+def test_secrets_in_paths(spark):
+    rnd = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    hook = "https://hooks.site.com/services/T00000000/B00000000/aZ8kQ2mN5xR7tY1wE4uP9sLd"
+    paths = ["http://a.org/usr/local/share/doc3/Make-readme-2/notes", "/docs/2024/05/how-to-install-python-3-on-my-box-quickly", "see //host/aZ8kQ2mN5xR7tY1wE4uP9sLd"]
+    texts = [hook, *paths]
+    keys = []
+    while len(keys) < 300:
+        key = "".join(rnd.choice(letters) for _ in range(40))
+        if re.match(r"(?:[A-Za-z0-9_-]{0,15}/){2,}", key):
+            keys.append(key)
+    df = spark.createDataFrame(list(enumerate(texts + keys)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_report(df).collect()}
+    assert got[0] == f"entropy_base64:{hook.index('com/')}:{len(hook)}"
+    assert got[1] == got[2] == "" and got[3] == f"entropy_base64:4:{len(texts[3])}"
+    assert sum(got[i + len(texts)] != "" for i in range(len(keys))) >= 285
+
+
 def test_decontamination(spark):
     rnd = random.Random(2)
     item = [f"w{rnd.randrange(10**6)}" for _ in range(30)]
