@@ -1,13 +1,15 @@
-"""Exact Jaccard join on word n-grams, size-aware: heavy sets go through inverted lists, light ones through subsets.
+"""Exact Jaccard join on word n-grams, size-aware: light sets enumerate subsets of a fixed size, heavy ones scan inverted lists.
 
 Light sets. Two sets of n and m shingles are linked exactly if they share at least c(n, m) of them, so they share a subset of
 that size. Sets of up to ``boundary`` shingles list all their subsets of the sizes that a partner of up to that size may ask for.
-The boundary is where listing subsets begins to cost more rows than an inverted list does.
 
-Heavy sets. Shingles are dealt by hash into slices, one more than a linked pair of that size class may differ in, so that a
-linked pair has a slice that is the same in both. Inverted lists are kept by slice; each set is looked for in the lists of its size
-class and of the next one, into which a larger partner may fall. Slices of very few shingles are equal in many unlike sets: spare
-slices are added, sets leave out their weak slices, and only sets with more weak than spare slices list all, which loses no pair.
+Heavy sets. Of n shingles in an order that all sets have in common, a linked pair has one among each set's first
+n - smallest(n) + 1, where smallest(n) is the least size of a partner. Each set stands in the inverted lists of those shingles. The order puts
+shingles that many sets have at the end, so that shared passages make no long lists; any order finds all pairs. Shingles are
+counted over all different sets, in tasks first, where fewer than ``OFTEN`` in a task's part go uncounted; the ``HOT`` most frequent ones are broadcast.
+
+The boundary is where enumerating a set's subsets begins to cost more than standing in lists and being compared with those met there. How
+many are met is measured on all sets while shingles are counted.
 
 Equal sets are one class and are joined as one. The members of a list are tied together where their sizes and sketches, counts of
 shingles by bucket, allow a link, or all of them in lists too long for that; families, the components of those ties, are then scanned exactly: breadth first, a set at a time against all sets of its family that no link has reached
@@ -36,10 +38,16 @@ from pyspark.sql import functions as F
 from .common import LOWER_ASCII, WordHashes, components, groups_of, mix, rows_of, shingle_hashes, staged
 
 FAMILY = 2_000_000
-#: Slices of up to so many shingles are weak: they are equal in many unlike sets.
-WEAK = 1
 #: Sets in a list from which on they are tied together unseen.
-CROWD = 4096
+CROWD = 20_000
+#: Shingles that stand last in the common order, at most; a bound of 4 MB on what is broadcast.
+HOT = 1 << 18
+#: How often a shingle is in the different sets of a task's part for it to be counted.
+OFTEN = 4
+#: Shingles that a task counts at once.
+COUNTED = 2_000_000
+#: What comparing two sets of a list costs, in rows of lists.
+COMPARE = 3
 
 
 @dataclass(frozen=True)
@@ -66,62 +74,36 @@ class Likeness:
     def subset_sizes(self, n: int, most: int) -> list[int]:
         return sorted({self.shared(n, m) for m in range(self.smallest(n), min(self.largest(n), most) + 1)})
 
-    def boundary(self) -> int:
-        """The largest n up to which subsets take no more rows than a list of slices and its scan, of n shingles, would."""
+    def listed(self, n: int) -> int:
+        """In how many inverted lists a set of n stands."""
+        return n - self.smallest(n) + 1
+
+    def boundary(self, met: float) -> int:
+        """The largest n up to which enumerating subsets costs no more than standing in lists, with met other sets in each."""
         n = 1
-        while sum(math.comb(n + 1, c) for c in self.subset_sizes(n + 1, self.largest(n + 1))) <= self.slices(n + 1)[0] + n + 1 + 8:
+        while sum(math.comb(n + 1, c) for c in self.subset_sizes(n + 1, self.largest(n + 1))) <= self.listed(n + 1) * (1 + COMPARE * met):
             n += 1
         return n
 
-    def slices(self, most: int) -> tuple[int, int]:
-        """(slices, spare ones among them) for pairs whose larger set has up to most shingles."""
-        need = max(self.differ(m, most) + 1 for m in range(self.smallest(most), most + 1))
-        best = None
-        for spare in range(need + 4):
-            d = need + spare
-            mean = most * 0.87 / d  # of shingles in a slice, for the smaller sets of the class
-            weak = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(WEAK + 1))
-            beyond = math.erfc((spare + 0.5 - d * weak) / math.sqrt(2 * d * weak * (1 - weak))) / 2
-            if best is None or beyond < best[0]:
-                best = (beyond, d, spare)
-            if beyond < 0.02:
-                break
-        return best[1], best[2]
-
-    def classes(self, up_to: int) -> list[int]:
-        """The largest sizes of the size classes of heavy sets."""
-        out = [self.boundary() + 2]
-        while out[-1] < up_to:
-            out.append(max(out[-1] + 1, out[-1] * 6 // 5))
-        return out
-
 
 class Signatures:
-    """The keys under which a set stands in lists."""
-
-    def __init__(self, like: Likeness):
-        self.like, self.light = like, like.boundary()
-        self.classes = like.classes(1 << 30)
-        self.layout: dict[int, tuple[int, int]] = {}
-
-    def _slices(self, s: np.ndarray, most: int) -> np.ndarray:
-        if most not in self.layout:
-            self.layout[most] = self.like.slices(most)
-        d, spare = self.layout[most]
-        # the high half of the product picks a slice, whatever d is
-        where = ((mix(s ^ np.uint64(most)) >> np.uint64(32)) * np.uint64(d)) >> np.uint64(32)
-        order = np.argsort(where, kind="stable")
-        where = where[order]
-        cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        sums = np.add.reduceat(mix(s)[order], cut)
-        used = where[cut]
-        strong = np.diff(np.r_[cut, len(s)]) > WEAK
-        if d - int(strong.sum()) <= spare:  # a linked pair has an equal slice among the strong ones
-            used, sums = used[strong], sums[strong]
-        else:
-            none = np.setdiff1d(np.arange(d, dtype=np.uint64), used)
-            used, sums = np.r_[used, none], np.r_[sums, np.zeros(len(none), np.uint64)]
-        return mix(sums + mix(used + np.uint64(most << 32)))
+    """The keys under which a set stands in lists. hot: frequent shingles, the least frequent first."""
+
+    def __init__(self, like: Likeness, light: int, hot: np.ndarray = np.empty(0, np.uint64)):
+        self.like, self.light = like, light
+        self.rank = np.argsort(hot, kind="stable")
+        self.hot = hot[self.rank]
+
+    def _first(self, s: np.ndarray, n: int) -> np.ndarray:
+        """The first n shingles of s, which is sorted, in the common order."""
+        if not len(self.hot):
+            return s[:n]
+        at = np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)
+        hot = self.hot[at] == s
+        out = s[~hot][:n]
+        if len(out) < n:
+            out = np.r_[out, s[hot][np.argsort(self.rank[at[hot]])[: n - len(out)]]]
+        return out
 
     def of(self, s: np.ndarray) -> np.ndarray:
         n, like = len(s), self.like
@@ -131,14 +113,8 @@ class Signatures:
             for c in like.subset_sizes(n, self.light):
                 left_out = np.array(list(combinations(range(n), n - c)), np.int64).reshape(math.comb(n, c), n - c)
                 out.append(mix(np.full(len(left_out), h.sum()) - h[left_out].sum(axis=1, dtype=np.uint64) + np.uint64(c)))
-        reach = like.largest(n)
-        if reach > self.light:
-            low = max(n, self.light + 1)
-            first = next(i for i, most in enumerate(self.classes) if most >= low)
-            for most in self.classes[first:]:
-                out.append(self._slices(s, most))
-                if most >= reach:
-                    break
+        if like.largest(n) > self.light:
+            out.append(self._first(s, like.listed(n)))
         return np.concatenate(out)
 
 
@@ -156,26 +132,85 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of a matrix, those with more buckets folded to the fewest."""
-    width = min(map(len, sketches))
-    return np.stack([np.frombuffer(x, np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int64) for x in sketches])
+class Sketches:
+    """The sketches of a list's sets, compared at the width that the narrower one of a pair has."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.sketches = sketches
+        self.width = np.array([len(x) for x in sketches])
+        self.folds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the sets that have so many buckets or more, folded to it, and each set's row."""
+        if width not in self.folds:
+            own = np.flatnonzero(self.width >= width)
+            row = np.full(len(self.width), -1)
+            row[own] = np.arange(len(own))
+            kind = np.int16 if int(self.width.max()) // width < 128 else np.int32
+            self.folds[width] = np.stack([np.frombuffer(self.sketches[i], np.uint8).reshape(-1, width).sum(axis=0, dtype=kind) for i in own.tolist()]), row
+        return self.folds[width]
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """In how many shingles, at least, each of others differs from set i."""
+        out = np.empty(len(others), np.int64)
+        widths = np.minimum(self.width[others], self.width[i])
+        for width in np.unique(widths).tolist():
+            own = widths == width
+            rows, row = self._at(width)
+            out[own] = np.abs(rows[row[others[own]]] - rows[row[i]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+SIZE_ROWS = "doc_id long, n long, k1 long, k2 long, sketch binary, shingle long, times long, met double"
 
 
 def _sizes(docs: DataFrame, like: Likeness) -> DataFrame:
-    """doc_id, n, the 128-bit hash and the sketch of each row's set."""
+    """Of each row its doc_id and its set's n, 128-bit hash and sketch; and, with null n, of each task's parts the times that frequent shingles
+    have, and one row with the number of sets as n negated, the shingles as times and how many others a shingle meets on average."""
+    names, kinds = zip(*((x.split()[0], {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[x.split()[1]]) for x in SIZE_ROWS.split(", ")), strict=True)
+
+    def batch(**cols) -> pa.RecordBatch:
+        size = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(size, k) for c, k in zip(names, kinds, strict=True)], names)
+
+    def counted(held: list[np.ndarray]):
+        shingle, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times >= OFTEN
+        yield batch(shingle=shingle[often].view(np.int64), times=times[often])
+        cold = times[~often]
+        yield batch(n=[-len(held)], times=[int(cold.sum())], met=[float((cold * (cold - 1)).sum())])
 
     def run(batches):
-        known = WordHashes()
+        known, seen, held, size = WordHashes(), set(), [], 0
         for rows in rows_of(batches, "doc_id", "text"):
             out = []
             for (doc_id, _), s in zip(rows, _sets([t for _, t in rows], like.words, known), strict=True):
                 key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 out.append((doc_id, len(s), int(key[0]), int(key[1]), sketch(s)))
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n", "k1", "k2", "sketch"])
+                if len(s) and key[0] not in seen:
+                    seen.add(key[0])
+                    held.append(s)
+                    size += len(s)
+            yield batch(**dict(zip(names, zip(*out, strict=True), strict=False)))
+            if size > COUNTED:
+                yield from counted(held)
+                held, size = [], 0
+                if len(seen) > 1_000_000:
+                    seen.clear()
+        if held:
+            yield from counted(held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SIZE_ROWS)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch binary")
+def _order(sizes: DataFrame, like: Likeness) -> tuple[int, np.ndarray]:
+    """The boundary, and the frequent shingles with the least frequent first."""
+    often = sizes.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    hot = [r["shingle"] for r in often.orderBy(F.desc("times"), "shingle").limit(HOT).collect()]
+    # a part of so many sets meets its share of what all of them would
+    part = sizes.where("n < 0").agg(F.sum(-F.col("n")).alias("sets"), F.sum("times").alias("shingles"), F.sum("met").alias("met"), F.count("*").alias("parts")).first()
+    met = part["met"] / max(1, part["shingles"]) * part["parts"] if part["parts"] else 0.0
+    return like.boundary(met), np.array(hot[::-1], np.int64).view(np.uint64)
 
 
 LIST_ROWS = "sig long, a long, b long"
@@ -197,11 +232,12 @@ def _chained(sigs: list[np.ndarray], keys: list[np.ndarray]) -> list[pa.RecordBa
     return [_batch(sig[~tied], key[~tied], None), _batch(edges[:, 0], edges[:, 0], edges[:, 1])]
 
 
-def _listed(docs: DataFrame, like: Likeness) -> DataFrame:
+def _listed(docs: DataFrame, like: Likeness, light: int, hot: np.ndarray) -> DataFrame:
     """What each task found for the lists, chained already: a list gets a row from each task at most a million keys."""
+    shipped = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        known, signatures, seen = WordHashes(), Signatures(like), set()
+        known, signatures, seen = WordHashes(), Signatures(like, light, shipped.value), set()
         sigs, keys, held = [], [], 0
         for rows in rows_of(batches, "text"):
             for s in _sets([t for (t,) in rows], like.words, known):
@@ -292,7 +328,7 @@ def _chains(shared: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
             for start, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if end - start < 2:
                     continue
-                rows, size = folded(sketches[start:end]), n[start:end]
+                near_by, size = Sketches(sketches[start:end]), n[start:end]
                 left = np.arange(1, end - start)
                 queue = [0]
                 while len(left):
@@ -301,12 +337,12 @@ def _chains(shared: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
                         left = left[1:]
                         continue
                     i = queue.pop()
-                    both = size[left] + size[i]
-                    apart = both - 2 * -(-like.percent * both // (100 + like.percent))
-                    near = np.abs(rows[left] - rows[i]).sum(axis=1) <= apart
+                    some = np.flatnonzero((100 * size[left] >= like.percent * size[i]) & (like.percent * size[left] <= 100 * size[i]))
+                    both = size[left[some]] + size[i]
+                    near = some[near_by.apart(i, left[some]) <= both - 2 * -(-like.percent * both // (100 + like.percent))]
                     out += [(a[start + i], a[start + j]) for j in left[near].tolist()]
                     queue += left[near].tolist()
-                    left = left[~near]
+                    left = np.delete(left, near)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
@@ -392,10 +428,12 @@ def _links(docs: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the least doc_id that it reaches by links, itself included."""
-    sizes = staged(_sizes(docs, like), "jaccard-sizes")
+    found = staged(_sizes(docs, like), "jaccard-sizes")
+    sizes = found.where("n >= 0")
+    light, hot = _order(found, like)
     full = sizes.where("n > 0 and doc_id is not null")
     classes = staged(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "jaccard-classes")
-    shared = staged(_shared_lists(_listed(docs, like)), "jaccard-lists")
+    shared = staged(_shared_lists(_listed(docs, like, light, hot)), "jaccard-lists")
     families = components(_chains(shared, classes, like))
     members = classes.join(families, classes["k1"] == families["node"]).select(F.col("rep").alias("doc_id"), "k1", "n", F.col("component").alias("family"))
     links = _links(docs, staged(members, "jaccard-members"), like)
