@@ -3,7 +3,8 @@
 A new word first gets the longest vocabulary entry at every position, a guess that costs a few look-ups. The guess is
 right exactly if no merge of the real algorithm would ever join pieces across one of its borders, and that depends on the
 two tokens at the border alone. All borders of all new words of a batch are checked at once, as numpy arrays; only words
-with a failing border are encoded by merging, step by step. Every distinct chunk of text is encoded once a task.
+with a failing border are encoded by merging, a merge of each of them at a time. Every distinct word is encoded once, as
+long as a task remembers it.
 
 Why a border check needs only two tokens: the pieces that touch the border from the left are the right spine of the left
 token's merge tree, from the right the left spine of the right token's. Ranks grow up the spines. So two such pieces meet
@@ -20,21 +21,31 @@ result column. Texts are never cut.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
+import sys
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
-from .common import rows_of
+from .common import ddl
 
 # Fixed values of the file format: the split pattern and the mark at the end of a word.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 WORD_END = "</w>"
 END = "\0"  # stands for WORD_END as one character
 NEVER = 1 << 40
+#: The same split for ASCII, and for texts without numbers that are no decimal digits.
+SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+SPLIT_PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|\\d|(?:_|[^\\w\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])+")
+ODD_NUMBERS = frozenset(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+#: Characters of texts that are encoded together.
+AT_ONCE = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -44,9 +55,11 @@ def byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """A tokenizer file's model. chunks(): encodes pieces of text without spaces."""
+    """A tokenizer file's model."""
 
-    REMEMBERED = 200_000
+    #: Words of a generation; as many of the one before are remembered too.
+    REMEMBERED = 250_000
+    WIDE = 64
 
     def __init__(self, content: str):
         data = json.loads(content)
@@ -55,9 +68,11 @@ class WordBpe:
         self.find_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         self.ids = {t.removesuffix(WORD_END) + END * t.endswith(WORD_END): i for t, i in vocab.items()}
-        self.longest: dict[str, int] = {}  # by the first two characters
+        lengths: dict[str, set[int]] = {}  # of the tokens of three characters or more, by their first three
         for t in self.ids:
-            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 1))
+            if len(t) > 2:
+                lengths.setdefault(t[:3], set()).add(len(t))
+        self.lengths = {start: (*sorted(own, reverse=True), 2, 1) for start, own in lengths.items()}
         self.letters = str.maketrans(dict(zip(map(chr, range(256)), byte_letters(), strict=True)))
         self.pair_rank: dict[int, int] = {}
         self.made: list[int] = []
@@ -74,12 +89,9 @@ class WordBpe:
         keys = np.fromiter(self.pair_rank, np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.fromiter(self.pair_rank.values(), np.int64)[order]
-        self.known_pairs, self.known_fit = np.empty(0, np.int64), np.empty(0, bool)
-        self.chunk_ids: dict[str, str] = {}
-        self.chunk_text: dict[str, str] = {}
-        self.word_ids: dict[str, str] = {t: str(i) for t, i in self.added.items()}
-        self.word_text: dict[str, str] = {t: t for t in self.added}
         self.decimal = [str(i) for i in range(size)]
+        self.now: dict[str, tuple[str, str]] = {}  # ids and text by word
+        self.before: dict[str, tuple[str, str]] = {}
         self.merged_words = self.guessed_words = 0
 
     def _merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,45 +119,87 @@ class WordBpe:
             next_b[back], b[back] = made_y[~undo_x], self.left[y[~undo_x]]
         return ok
 
-    def _fit_known(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key, back = np.unique(a * self.size + b, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known_pairs, key), max(len(self.known_pairs) - 1, 0))
-        new = self.known_pairs[at] != key if len(self.known_pairs) else np.ones(len(key), bool)
-        if new.any():
-            fresh = key[new]
-            keys = np.r_[self.known_pairs, fresh]
-            fits = np.r_[self.known_fit, self.fit(fresh // self.size, fresh % self.size)]
-            order = np.argsort(keys)
-            self.known_pairs, self.known_fit = keys[order], fits[order]
-        return self.known_fit[np.searchsorted(self.known_pairs, key)][back]
-
     def _guess(self, word: str) -> list[int]:
-        out, at, n = [], 0, len(word)
-        ids, longest = self.ids, self.longest
-        while at < n:
-            end = at + longest.get(word[at : at + 2], 1)
-            if end >= n - 1:  # no token ends just before END
-                end = n if word[at:] in ids else n - 2
-            while word[at:end] not in ids:
-                end -= 1
-            out.append(ids[word[at:end]])
-            at = end
+        out, at, last = [], 0, len(word) - 1
+        find, lengths = self.ids.get, self.lengths
+        while at < last:
+            for n in lengths.get(word[at : at + 3], (2, 1)):
+                # no token ends just before END
+                if at + n != last and (t := find(word[at : at + n])) is not None:
+                    out.append(t)
+                    at += n
+                    break
         return out
 
+    def _letters(self, word: str) -> list[int]:
+        return [self.ids[c] for c in word[:-2]] + [self.ids[word[-2:]]]
+
     def merged(self, word: str) -> list[int]:
-        """The tokens of a word by merging: always the lowest rank, the leftmost of equal ones."""
-        pieces = [self.ids[c] for c in word[:-2]] + [self.ids[word[-2:]]]
+        """The tokens of a word by merging: always the lowest rank, the leftmost of equal ones. For words of any length."""
+        pieces = self._letters(word)
+        n = len(pieces)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         rank_of, size = self.pair_rank.get, self.size
-        ranks = [rank_of(a * size + b, NEVER) for a, b in zip(pieces, pieces[1:], strict=False)]
-        while ranks and (rank := min(ranks)) < NEVER:
-            i = ranks.index(rank)
-            pieces[i : i + 2] = [self.made[rank]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank_of(pieces[i - 1] * size + pieces[i], NEVER)
-            if i < len(ranks):
-                ranks[i] = rank_of(pieces[i] * size + pieces[i + 1], NEVER)
-        return pieces
+        heap = [(r, i, pieces[i], pieces[i + 1]) for i in range(n - 1) if (r := rank_of(pieces[i] * size + pieces[i + 1], NEVER)) < NEVER]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if pieces[i] != a or j < 0 or pieces[j] != b:
+                continue  # merged otherwise since
+            pieces[i], pieces[j] = self.made[rank], -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x in (before[i], i):
+                if x >= 0 and (y := after[x]) >= 0 and (r := rank_of(pieces[x] * size + pieces[y], NEVER)) < NEVER:
+                    heapq.heappush(heap, (r, x, pieces[x], pieces[y]))
+        return [t for t in pieces if t >= 0]
+
+    def merged_together(self, words: list[str]) -> list[list[int]]:
+        """The same for many words, a merge of each at a time. Words of more than ``WIDE`` letters go one by one."""
+        out: list[list[int]] = [[]] * len(words)
+        for low, high in ((2, 12), (12, 24), (24, self.WIDE)):
+            own = [i for i, w in enumerate(words) if low < len(w) <= high]
+            if own:
+                for i, tokens in zip(own, self._merged_matrix([self._letters(words[i]) for i in own]), strict=True):
+                    out[i] = tokens
+        for i, w in enumerate(words):
+            if not 2 < len(w) <= self.WIDE:
+                out[i] = self.merged(w)
+        return out
+
+    def _merged_matrix(self, letters: list[list[int]]) -> list[list[int]]:
+        sizes = np.array([len(x) for x in letters])
+        wide = int(sizes.max()) + 1
+        inside = np.arange(wide) < sizes[:, None]
+        piece = np.full(inside.shape, -1, np.int64)
+        piece[inside] = np.concatenate(letters)
+        rank = np.full(inside.shape, NEVER, np.int64)
+        pair = inside[:, 1:]
+        rank[:, :-1][pair] = self._merge_rank(piece[:, :-1][pair], piece[:, 1:][pair])
+        after, before = np.tile(np.arange(1, wide + 1), (len(letters), 1)), np.tile(np.arange(-1, wide - 1), (len(letters), 1))
+        made = np.array(self.made)
+        todo = np.arange(len(letters))
+        while len(todo):
+            at = rank[todo].argmin(axis=1)
+            least = rank[todo, at]
+            on = least < NEVER
+            todo, at, least = todo[on], at[on], least[on]
+            gone = after[todo, at]
+            beyond = after[todo, gone]
+            piece[todo, at], piece[todo, gone] = made[least], -1
+            rank[todo, gone] = NEVER
+            after[todo, at], before[todo, np.minimum(beyond, wide - 1)] = beyond, at
+            for x, y in ((at, beyond), (before[todo, at], at)):
+                ok = (x >= 0) & (y < wide)
+                ok[ok] = piece[todo[ok], y[ok]] >= 0
+                rank[todo[~ok & (x >= 0)], x[~ok & (x >= 0)]] = NEVER
+                rank[todo[ok], x[ok]] = self._merge_rank(piece[todo[ok], x[ok]], piece[todo[ok], y[ok]])
+        kept = piece >= 0
+        ends = np.cumsum(kept.sum(axis=1))
+        flat = piece[kept].tolist()
+        return [flat[low:high] for low, high in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def words(self, words: list[str]) -> list[list[int]]:
         """The tokens of words that are written in byte letters and end with END."""
@@ -153,50 +207,54 @@ class WordBpe:
         flat = np.fromiter((t for g in guesses for t in g), np.int64)
         owner = np.repeat(np.arange(len(words)), [len(g) for g in guesses])
         inner = owner[1:] == owner[:-1]
-        fits = self._fit_known(flat[:-1][inner], flat[1:][inner]) if inner.any() else np.empty(0, bool)
+        pair, back = np.unique(flat[:-1][inner] * self.size + flat[1:][inner], return_inverse=True)
+        fits = self.fit(pair // self.size, pair % self.size)[back]
         wrong = set(owner[1:][inner][~fits].tolist())
         self.merged_words += len(wrong)
         self.guessed_words += len(words) - len(wrong)
-        return [self.merged(w) if i in wrong else g for i, (w, g) in enumerate(zip(words, guesses, strict=True))]
-
-    def _split(self, chunk: str) -> list[str]:
-        """Words in byte letters with END, and added tokens."""
-        if self.find_added and any(t in chunk for t in self.added):
-            return [w for piece in self.find_added.split(chunk) for w in ([piece] if piece in self.added else self._split(piece))]
-        if chunk.isascii():
-            return [w + END for w in SPLIT.findall(chunk.lower())]
-        plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return [w.encode().decode("latin-1").translate(self.letters) + END for w in SPLIT.findall(plain)]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes chunks that were not seen before; forgets all others first when there are too many."""
-        if len(self.chunk_ids) > self.REMEMBERED:
-            self.chunk_ids.clear()
-            self.chunk_text.clear()
-            self.known_pairs, self.known_fit = np.empty(0, np.int64), np.empty(0, bool)
-            self.word_ids = {t: str(i) for t, i in self.added.items()}
-            self.word_text = {t: t for t in self.added}
-        split = {c: self._split(c) for c in chunks.difference(self.chunk_ids)}
-        words = list({w for s in split.values() for w in s}.difference(self.word_ids))
-        if words:
-            decimal, text = self.decimal, self.text
-            for word, tokens in zip(words, self.words(words), strict=True):
-                self.word_ids[word] = " ".join([decimal[t] for t in tokens])
-                self.word_text[word] = " ".join([text[t] for t in tokens])
-        ids, text = self.word_ids, self.word_text
-        for chunk, parts in split.items():
-            if len(parts) == 1:
-                self.chunk_ids[chunk], self.chunk_text[chunk] = ids[parts[0]], text[parts[0]]
+        anew = dict(zip(sorted(wrong), self.merged_together([words[i] for i in sorted(wrong)]), strict=True))
+        return [anew.get(i, g) for i, g in enumerate(guesses)]
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text; an added token is END and its text."""
+        if self.find_added and any(t in text for t in self.added):
+            return [w for piece in self.find_added.split(text) for w in ([END + piece] if piece in self.added else self._words_of(piece))]
+        return self._words_of(text)
+
+    def _words_of(self, text: str) -> list[str]:
+        if text.isascii():
+            return SPLIT_ASCII.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return (SPLIT_PLAIN if ODD_NUMBERS.isdisjoint(text) else SPLIT).findall(text)
+
+    def _spelt(self, word: str) -> str:
+        return (word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)) + END
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes words that were not seen before. A full generation takes the place of the one before it; words of that are kept if they come again."""
+        if len(self.now) > self.REMEMBERED:
+            self.now, self.before = {}, self.now
+        new = words.difference(self.now)
+        again = new.intersection(self.before)
+        self.now.update((w, self.before[w]) for w in again)
+        new -= again
+        plain = []
+        for w in new:
+            if w[0] == END and w[1:] in self.added:
+                self.now[w] = (str(self.added[w[1:]]), w[1:])
             else:
-                self.chunk_ids[chunk] = " ".join([ids[p] for p in parts])
-                self.chunk_text[chunk] = " ".join([text[p] for p in parts])
+                plain.append(w)
+        decimal, text = self.decimal, self.text
+        if plain:
+            for word, tokens in zip(plain, self.words([self._spelt(w) for w in plain]), strict=True):
+                self.now[word] = (" ".join([decimal[t] for t in tokens]), " ".join([text[t] for t in tokens]))
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """For each text its ids, as decimals, and its decoded text, both joined by spaces."""
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*chunks))
-        ids, text = self.chunk_ids.__getitem__, self.chunk_text.__getitem__
-        return [(" ".join(filter(None, map(ids, c))), " ".join(filter(None, map(text, c)))) for c in chunks]
+        words = [self.split(t or "") for t in texts]
+        self.learn(set().union(*words))
+        both = [[*map(self.now.__getitem__, w)] for w in words]
+        return [(" ".join([x[0] for x in b]), " ".join([x[1] for x in b])) for b in both]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.text[i] for i in ids if i in self.text)
@@ -220,20 +278,29 @@ def _ship(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast((hashlib.sha256(content.encode()).hexdigest(), content))
 
 
+def _pieces(batches):
+    """The batches in slices of about AT_ONCE characters of text."""
+    for batch in batches:
+        size = pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // AT_ONCE
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cut, cut[1:], strict=False):
+            if high > low:
+                yield batch.slice(low, high - low)
+
+
 def encode(docs: DataFrame, path: str, out: str = "ids") -> DataFrame:
     """docs with the token ids of ``text`` as ``out``, array<int>."""
     shipped = _ship(docs, path)
 
     def run(batches):
         model = _model(shipped)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = [[int(i) for i in x.split()] for x, _ in model.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, out])
+        for part in _pieces(batches):
+            ids = [np.fromstring(x, np.int32, sep=" ") if x else np.empty(0, np.int32) for x, _ in model.encode(part.column("text").to_pylist())]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{out}` array<int>")
+    return docs.mapInArrow(run, f"{ddl(docs.schema)}, `{out}` array<int>")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -248,8 +315,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 text = [model.decode(x or []) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*part.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, `{out}` string")
+    return df.mapInArrow(run, f"{ddl(df.schema)}, `{out}` string")
 
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
@@ -258,9 +324,9 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         model = _model(shipped)
-        for rows in rows_of(batches, "doc_id", "text"):
-            both = model.encode([text for _, text in rows])
+        for part in _pieces(batches):
+            both = model.encode(part.column("text").to_pylist())
             sha = [[hashlib.sha256(x.encode()).hexdigest() for x in col] for col in zip(*both, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([ids.count(" ") + bool(ids) for ids, _ in both], pa.int64()), pa.array(sha[0]), pa.array(sha[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ids.count(" ") + bool(ids) for ids, _ in both], pa.int64()), pa.array(sha[0]), pa.array(sha[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
