@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import word_count
+from ..sources.tables import staged, word_count
 
 
 def validated(docs: DataFrame, required: tuple[str, ...] = ("source", "title", "body", "source_url")) -> DataFrame:
@@ -42,28 +40,24 @@ def first_of(docs: DataFrame, key: str, order: str = "doc_id") -> DataFrame:
     return docs.groupBy(key).agg(F.min_by(whole, order).alias("row")).select("row.*")
 
 
-def greedy(docs: DataFrame, keys: tuple[str, str], order: str = "doc_id", folder: str | None = None) -> DataFrame:
+def greedy(docs: DataFrame, keys: tuple[str, str], order: str = "doc_id") -> DataFrame:
     """Rows kept by taking rows in order, unless an earlier kept row has the same value of either key.
 
     Rounds: a row that is first by both keys among the open ones is kept, rows that share a key with it go; repeat. Each round is
     written to the shared folder, which cuts the lineage; rounds number as the longest chain of alternating keys.
     """
-    spark = docs.sparkSession
-    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     a, b = keys
 
     def cut(df: DataFrame) -> DataFrame:
-        if not folder:
-            return df.persist()
-        path = f"{folder}/greedy-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return staged(df, "greedy")
 
     open_ = docs.select(order, a, b)
     kept = None
     while True:
-        first_a, first_b = (F.min(order).over(Window.partitionBy(k)) for k in keys)
-        ranked = cut(open_.select(order, a, b, ((F.col(order) == first_a) & (F.col(order) == first_b)).alias("taken")))
+        # least by key, with partial minima first, so that a hot key is never sorted in one task
+        least = [open_.groupBy(k).agg(F.min(order).alias(f"__first_{i}")) for i, k in enumerate(keys)]
+        both = open_.join(least[0], a).join(least[1], b)
+        ranked = cut(both.select(order, a, b, ((F.col(order) == F.col("__first_0")) & (F.col(order) == F.col("__first_1"))).alias("taken")))
         taken = ranked.where("taken").drop("taken")
         kept = taken if kept is None else kept.unionByName(taken)
         left = ranked.where("not taken").drop("taken")

@@ -13,12 +13,14 @@ from ..functions.stopwords import ENGLISH
 
 def tokens(text: Column) -> Column:
     """Runs of Latin letters, lower-cased, without stop words."""
-    stop = F.array(*(F.lit(w) for w in ENGLISH if w.isalpha()))
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: (t != "") & ~F.array_contains(stop, t))
+    stop = ["", *(w for w in ENGLISH if w.isalpha())]  # looked up in a hash set
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: ~t.isin(stop))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(tokens(F.col("body"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, term, tf). Texts are dealt by doc_id before they are cut, in parallel whatever their files are; counting needs no other shuffle."""
+    dealt = docs.select("doc_id", "body").repartition("doc_id")
+    return dealt.select("doc_id", F.explode(tokens(F.col("body"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -71,19 +73,49 @@ def similar_vectors(vectors: DataFrame, k: int = 5) -> DataFrame:
     return ranked(scores, "vec_id", "score", "other_id", k)
 
 
-def ml_features(docs: DataFrame, vocabulary: int = 20_000):
-    """The same features as a fitted Spark ML pipeline, for clustering: column ``features``."""
+def grouped_weights(docs: DataFrame) -> DataFrame:
+    """(grp, doc_id, term, weight, weighting): TF-IDF within each group of docs (grp, doc_id, body); term frequency where a group's weights are all 0."""
+    counts = term_counts(docs).join(docs.select("doc_id", "grp"), "doc_id")
+    df = counts.groupBy("grp", "term").agg(F.count("*").alias("df"))
+    n = counts.groupBy("grp").agg(F.countDistinct("doc_id").alias("n"))
+    weighed = counts.join(df, ["grp", "term"]).join(n, "grp").withColumn("weight", F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 6))
+    flat = weighed.groupBy("grp").agg((F.max("weight") <= 0).alias("flat"))
+    both = weighed.join(flat, "grp")
+    return both.select("grp", "doc_id", "term", F.when(F.col("flat"), F.col("tf").cast("double")).otherwise(F.col("weight")).alias("weight"), F.when(F.col("flat"), "term_frequency").otherwise("tfidf").alias("weighting"))
+
+
+def cluster_modes(weights: DataFrame, most: int = 4) -> DataFrame:
+    """(grp, k, mode) for weights (grp, doc_id, term, weight): kmeans with up to ``most`` clusters if two different vectors are there, else single_group."""
+    vector = weights.groupBy("grp", "doc_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("term", "weight")))), 256).alias("v"))
+    return vector.groupBy("grp").agg(F.countDistinct("v").alias("n")).select("grp", F.least("n", F.lit(most)).alias("k"), F.when(F.col("n") > 1, "kmeans").otherwise("single_group").alias("mode"))
+
+
+def segment_topics(docs: DataFrame, most: int = 4, seed: int = 42) -> tuple[DataFrame, str]:
+    """doc_id and topic_id of one transcript's segments (doc_id, body), and the mode, as in ``cluster_modes``."""
+    features = ml_features(docs, unit=True)
+    k = features.select("features").distinct().limit(most).count()
+    if k < 2:
+        return features.select("doc_id", F.lit(0).alias("topic_id")), "single_group"
+    return KMeans(k=k, seed=seed, maxIter=20).fit(features).transform(features).select("doc_id", F.col("prediction").alias("topic_id")), "kmeans"
+
+
+def ml_features(docs: DataFrame, vocabulary: int = 20_000, unit: bool = False):
+    """The same features as a fitted Spark ML pipeline, for clustering: column ``features``; unit: of length 1."""
     stages = [
         RegexTokenizer(inputCol="body", outputCol="words", pattern="[^a-zA-Z]+"),
         StopWordsRemover(inputCol="words", outputCol="terms"),
         CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=1.0),
-        IDF(inputCol="counts", outputCol="weights"),
-        Normalizer(inputCol="weights", outputCol="features", p=2.0),
+        IDF(inputCol="counts", outputCol="weights" if unit else "features"),
     ]
+    if unit:
+        stages.append(Normalizer(inputCol="weights", outputCol="features", p=2.0))
     return Pipeline(stages=stages).fit(docs).transform(docs)
 
 
-def kmeans_topics(docs: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
-    """doc_id and topic_id; labels depend on how the data is dealt."""
+def kmeans_topics(docs: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
+    """doc_id and topic_id by TF-IDF of any length, in k clusters or as many as there are documents; labels depend on how the data is dealt."""
     features = ml_features(docs)
+    k = max(1, min(k, docs.limit(k).count()))
+    if k < 2:
+        return docs.select("doc_id", F.lit(0).alias("topic_id"))
     return KMeans(k=k, seed=seed, maxIter=10).fit(features).transform(features).select("doc_id", F.col("prediction").alias("topic_id"))

@@ -38,6 +38,11 @@ def status(matched: Column, in_topic: Column) -> Column:
     return F.when((matched > 0), "known").when(in_topic, "refine").otherwise("new")
 
 
+def matched_terms(units: DataFrame, known: DataFrame) -> DataFrame:
+    """(user_id, knowledge_id, matched): the unit's terms that the user knows, sorted. A unit has a few terms, so the arrays are short."""
+    return units.join(known, "term").groupBy("user_id", "knowledge_id").agg(F.array_sort(F.collect_set("term")).alias("matched"))
+
+
 def classified(users: DataFrame, units: DataFrame, known: DataFrame, topics: DataFrame) -> DataFrame:
     """(user_id, knowledge_id, topic_id, doc_id, n_terms, n_matched, in_topic, status) for every user and unit.
 
@@ -45,6 +50,7 @@ def classified(users: DataFrame, units: DataFrame, known: DataFrame, topics: Dat
     """
     unit = units.groupBy("knowledge_id", "topic_id", "doc_id").agg(F.count("*").alias("n_terms"))
     hits = units.join(known, "term").groupBy("user_id", "knowledge_id").agg(F.count("*").alias("n_matched"))
+    # every user gets every unit: that is the result. Spark broadcasts units below its threshold and deals both sides into blocks above it
     all_ = users.crossJoin(unit).join(hits, ["user_id", "knowledge_id"], "left")
     flagged = all_.join(topics.select("user_id", "topic_id", F.lit(True).alias("in_topic")), ["user_id", "topic_id"], "left").fillna(0, ["n_matched"]).fillna(False, ["in_topic"])
     return flagged.withColumn("status", status(F.col("n_matched"), F.col("in_topic")))

@@ -6,11 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed names: elements whose content is no text.
+HIDDEN = ("script", "style")
+
+
+def without_elements(html: Column, names: tuple[str, ...]) -> Column:
+    """A space for each of the named elements, with all they hold."""
+    whole = "|".join(rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in names)
+    return F.regexp_replace(html, f"(?is){whole}", " ")
+
+
 def html_to_text(html: Column) -> Column:
     """Without script and style elements and tags, white space collapsed; entities stay."""
-    plain = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    plain = F.regexp_replace(plain, r"(?s)<[^>]+>", " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    words = F.split(F.regexp_replace(without_elements(html, HIDDEN), "<[^>]+>", " "), r"\s+")
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
 
 
 def normalized_url(url: Column) -> Column:
@@ -18,10 +27,3 @@ def normalized_url(url: Column) -> Column:
     head = F.lower(F.regexp_extract(url, r"^[^:]+://[^/?#]*", 0))
     rest = F.regexp_extract(url, r"^[^:]+://[^/?#]*([^#]*)", 1)
     return F.concat(head, F.when(rest == "", "/").when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest))
-
-
-def subtitle_text(cues: Column) -> Column:
-    """The spoken lines of a WebVTT or SRT text, joined by spaces."""
-    lines = F.transform(F.split(cues, r"\r?\n"), lambda x: F.trim(x))
-    spoken = F.filter(lines, lambda x: (x != "") & ~x.startswith("WEBVTT") & ~x.contains("-->") & ~x.rlike(r"^\d+$") & ~x.rlike("^(NOTE|STYLE|REGION)"))
-    return F.array_join(F.transform(spoken, lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", ""))), " ")

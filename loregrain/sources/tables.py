@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,19 @@ def reads(events: DataFrame, docs: DataFrame) -> DataFrame:
     """(user_id, doc_id, read_at): what each user has viewed, and the first event of it."""
     n = docs.agg(F.count("*").alias("n"))  # one row
     return events.where("event_type = 'view'").join(F.broadcast(n)).groupBy("user_id", (F.col("event_id") % F.col("n")).alias("doc_id")).agg(F.min("event_id").alias("read_at"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="loregrain-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read again, so that several later branches don't compute it anew."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

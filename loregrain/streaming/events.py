@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -23,22 +25,43 @@ def deduplicated(events: DataFrame, key: list[str], late: str = "40 days") -> Da
 
 
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """What is there now, through the stream, as a table in memory: for reports and tests."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What is there now, through the stream, as Parquet in the shared folder. A batch that comes again writes the same files again."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # complete batches hold all results, appended ones what is new
+        batch.write.mode("overwrite").parquet(f"{path}/all" if mode == "complete" else f"{path}/all/v={epoch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not query.lastProgress:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/all")
 
 
 def upsert_sink(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str):
-    """Keeps the latest row of each key in versions under path; a batch that comes again writes the same version again."""
+    """Keeps the latest row of each key in versions under path; a batch that comes again writes the same version again.
+
+    Parquet can't be updated in place, so each version is written whole; give larger batches for fewer versions.
+    """
     from ..operators.feeds import latest
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = batch
-        if epoch:
+        if epoch:  # the batch before has committed its version
             rows = spark.read.parquet(f"{path}/v={epoch - 1}").unionByName(batch)
         latest(rows, key, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upserted(stream: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The latest row of each key of what is there now, through the sink."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    query = upsert_sink(stream, f"{path}/rows", key, order, f"{path}/checkpoint")
+    query.awaitTermination()
+    done = query.lastProgress
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/v={done['batchId']}") if done else spark.createDataFrame([], stream.schema)

@@ -8,7 +8,9 @@ import os
 import duckdb
 import pytest
 
-from loregrain.plans import catalogue
+from loregrain.plans import catalogue, workflows
+
+QUERIES, ORACLES = catalogue.queries() | workflows.queries(), catalogue.oracle_sql() | workflows.oracle_sql()
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,10 +31,10 @@ def plain(value):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
-    df = catalogue.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     mine = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
-    want = duck.execute(f"SELECT {', '.join(cols)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    want = duck.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
     assert mine == sorted(tuple(plain(v) for v in row) for row in want)
