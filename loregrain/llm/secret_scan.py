@@ -1,8 +1,8 @@
 """Secrets: base rules, and sliding-window entropy over candidate strings. Only DataFrame and SQL functions.
 
 Candidates are runs of at least ``WINDOW`` characters of a class: hex digits, or the letters of base64 and its URL form. A window slides
-over each candidate; its character counts are kept in an array that changes by one character that leaves and one that comes,
-and so is the sum of n * log2(n), which gives the window's Shannon entropy. A candidate is a secret if its best window reaches the
+over each candidate; its character counts, packed into a few whole numbers, change by one character that leaves and one that comes,
+and so does the sum of n * log2(n), which gives the window's Shannon entropy. Candidates are sought in what base spans leave over. A candidate is a secret if its best window reaches the
 class's threshold, unless the allow-list knows it, it is only a path or it overlaps a base span, which stays as it is.
 
 Spans are those of the whole match. Defined results: null and empty texts have no spans; each row is judged by itself; a null doc_id
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import clear_of, keyed, matches, without_marks, written
+from .spans import clear_of, filled, keyed, let, matches, without_marks, written
 
 # The base patterns, with possessive quantifiers where nothing is to be given back.
 BASE = {
@@ -46,27 +46,38 @@ WORDS = r"^(?:[A-Za-z]*+[0-9]*+(?:[_=+-]++|$))*+$"
 SLUG = r"^(?:[a-z]*+[0-9]*+(?:[_=+-]++|$))*+$"
 
 
+#: Counts of a window, five bits each, are held in whole numbers of so many.
+PACKED = 12
+
+
 def best_entropy(text: Column, alphabet: str) -> Column:
-    """The highest entropy, in bits, of a window of text; text has only characters of alphabet, WINDOW of them at least."""
-    weight = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 2)]
-    table = F.array(*(F.lit(x) for x in weight))
-    term = lambda n: F.element_at(table, n + 1)
-    index = lambda at: F.instr(F.lit(alphabet), F.substring(text, at, F.lit(1)))
-    head = F.substring(text, F.lit(1), F.lit(WINDOW))
-    counts = F.transform(F.sequence(F.lit(1), F.lit(len(alphabet))), lambda k: F.length(head) - F.length(F.replace(head, F.substring(F.lit(alphabet), k, F.lit(1)), F.lit(""))))
-    start = F.aggregate(counts, F.lit(0.0), lambda total, n: total + term(n))
-    zero = F.struct(counts.alias("counts"), start.alias("sum"), start.alias("least"))
-
-    def step(acc, i):
-        gone, come = index(i), index(i + WINDOW)
-        lost = F.element_at(acc["counts"], gone)
-        had = F.element_at(acc["counts"], come)
-        total = F.when(gone == come, acc["sum"]).otherwise(acc["sum"] - term(lost) + term(lost - 1) - term(had) + term(had + 1))
-        counts = F.transform(acc["counts"], lambda n, k: n + F.when(k + 1 == come, 1).otherwise(0) - F.when(k + 1 == gone, 1).otherwise(0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.least(acc["least"], total).alias("least"))
-
-    places = F.filter(F.sequence(F.lit(0), F.length(text) - WINDOW), lambda i: i > 0)
-    return F.aggregate(places, zero, step, lambda acc: F.lit(math.log2(WINDOW)) - acc["least"] / WINDOW)
+    """The highest entropy, in bits, of a window of text; text has only characters of alphabet, WINDOW of them at least.
+
+    A step takes the character that leaves out of its count and puts the one that comes into its own, and changes the sum by these two.
+    """
+    term = lambda n: F.get(F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 2))), n)
+    unit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c % PACKED * 5)
+    count = lambda counts, c: F.call_function("shiftright", F.get(counts, F.floor(c / PACKED).cast("int")), c % PACKED * 5).bitwiseAND(F.lit(31)).cast("int")
+
+    def slid(codes: Column) -> Column:
+        zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // PACKED)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(math.inf).alias("least"))
+
+        def step(acc: Column, i: Column) -> Column:
+            come, gone = F.get(codes, i), F.get(codes, i - WINDOW)  # null before the window is full
+            lost = count(acc["counts"], gone)
+            had = count(acc["counts"], come) - F.when(come == gone, 1).otherwise(0)
+            total = acc["sum"] - F.coalesce(term(lost) - term(lost - 1), F.lit(0.0)) + term(had + 1) - term(had)
+
+            def changed(packed: Column, k: Column) -> Column:
+                put = F.when(F.floor(come / PACKED) == k, unit(come)).otherwise(F.lit(0).cast("long"))
+                taken = F.when(F.floor(gone / PACKED) == k, unit(gone)).otherwise(F.lit(0).cast("long"))
+                return packed + put - taken
+
+            return F.struct(F.transform(acc["counts"], changed).alias("counts"), total.alias("sum"), F.when(i >= WINDOW - 1, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: F.lit(math.log2(WINDOW)) - acc["least"] / WINDOW)
+
+    return let(F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c) - 1), slid)
 
 
 def _allowed(text: Column) -> Column:
@@ -84,19 +95,25 @@ def _only_path(text: Column, alphabet: str, bits: float) -> Column:
 
 
 def _is_secret(alphabet: str, bits: float):
-    return lambda s: clear_of(s, F.col("__base")) & ~_allowed(s["text"]) & (best_entropy(s["text"], alphabet) >= bits) & ~_only_path(s["text"], alphabet, bits)
+    return lambda s: ~_allowed(s["text"]) & (best_entropy(s["text"], alphabet) >= bits) & ~_only_path(s["text"], alphabet, bits) & clear_of(s, F.col("__base"))
+
+
+def _long_enough(s: Column) -> Column:
+    return F.length(F.regexp_extract(s["text"], VALUE, 1)) >= LEAST
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs (with text) and, by base kind, ``__assign`` etc., then ``__base`` and ``__all``: arrays of struct<start, number, end, kind>."""
     out = docs.withColumn("__plain", without_marks(F.col("text")))
+    open_ = F.col("__plain")  # what base spans leave over
     for kind, pattern in BASE.items():
         out = out.withColumn(f"__{kind}", matches(F.col("__plain"), pattern))
-    out = out.withColumn("__assign", F.filter("__assign", lambda s: F.length(F.regexp_extract(s["text"], VALUE, 1)) >= LEAST))
+        open_ = filled(open_, pattern, _long_enough if kind == "assign" else lambda s: F.lit(True))
+    out = out.withColumn("__assign", F.filter("__assign", _long_enough)).withColumn("__open", open_)
     out = out.withColumn("__base", F.concat(*(keyed(F.col(f"__{kind}"), i, kind) for i, kind in enumerate(BASE))))
     for name, (alphabet, _) in CLASSES.items():
         letters = "[" + alphabet.replace("-", r"\-") + "]"
-        out = out.withColumn(f"__{name}_runs", matches(F.col("__plain"), rf"(?<!{letters}){letters}{{{WINDOW},}}+"))
+        out = out.withColumn(f"__{name}_runs", matches(F.col("__open"), rf"(?<!{letters}){letters}{{{WINDOW},}}+"))
     for i, (name, (alphabet, bits)) in enumerate(CLASSES.items()):
         secret = F.filter(f"__{name}_runs", _is_secret(alphabet, bits))
         out = out.withColumn(f"__{name}_new", keyed(secret, len(BASE) + i, f"entropy_{name}"))
