@@ -2,14 +2,19 @@
 
 An index has two tables. ``refs`` holds, for every line key, in how many documents it occurs. ``filters`` holds for every
 shard of the key space a cuckoo filter over the shard's keys. When documents are added, keys that the filter has never
-seen go into ``refs`` as they are; only the others are joined with it. When documents are taken away, counts go down, and
-keys that nobody refers to any more leave both tables, which a Bloom filter could not do.
+seen go into ``refs`` and into the filter as they are; only the others are added up with ``refs``. When documents are taken away, counts go down, and
+keys that nobody refers to any more leave both tables, which a Bloom filter could not do. A filter that gets full is made anew from its shard's keys, and the
+shards are dealt anew when there are too many keys for them.
+
+Lines are looked up through filters too, over the keys that enough documents have: every line of every document asks its shard's filter, and
+only lines that the filter may know are joined with the exact counts. A shard is given to as many tasks as its lines need, so that a line of very many
+documents is spread.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z lower-cased, as a 128-bit hash. Lines with a
 key shorter than ``min_chars`` code points have none and always stay.
 
 Defined results: null and empty text are one empty line. Every row counts as a document of its own, so a repeated row
-adds to the counts of its lines. Rows with a null doc_id are handled like any other value of doc_id. Empty tables give
+adds to the counts of its lines. Rows with a null doc_id are told apart by their text. Empty tables give
 empty results. Other columns are not looked at, and ``dedup_lines`` returns them as they are, so their names can't clash.
 """
 
@@ -21,12 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rows_of, staged
+from .common import ddl, mix, rows_of, staged
 
 KEYS_PER_SHARD = 500_000
+#: Lines that a task looks up in a shard's filter.
+LINES_AT_ONCE = 1_000_000
 SLOTS = 4
 
 
@@ -125,20 +132,25 @@ def _lines_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split(b"\n")
 
 
+def _row() -> Column:
+    """What lines to drop are gathered by: the doc_id, or where it is null the text's hash. Rows that share it share only lines that all documents lose."""
+    return F.coalesce("doc_id", F.xxhash64("text")).alias("row")
+
+
 def document_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(doc_id, hi, lo): the distinct line keys of every row."""
+    """(row, hi, lo): the distinct line keys of every row."""
 
     def run(batches):
-        for rows in rows_of(batches, "doc_id", "text"):
+        for rows in rows_of(batches, "row", "text"):
             ids, keys = [], []
-            for doc_id, text in rows:
+            for row, text in rows:
                 own = {k for line in _lines_of(text) if (k := line_key(line, min_chars))}
-                ids += [doc_id] * len(own)
+                ids += [row] * len(own)
                 keys += own
             both = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["row", "hi", "lo"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long")
+    return docs.select(_row(), "text").mapInArrow(run, "row long, hi long, lo long")
 
 
 def _counted(keys: DataFrame, shards: int) -> DataFrame:
@@ -170,28 +182,45 @@ def index_of_keys(keys: DataFrame) -> LineIndex:
     return LineIndex(refs, staged(_filters(refs), "line-filters"), shards)
 
 
-def maybe_known(keys: DataFrame, index: LineIndex) -> DataFrame:
-    """keys (shard, hi, lo, ...) with ``maybe``: false where the shard's filter is certain that the index lacks the key."""
+def maybe_known(keys: DataFrame, filters: DataFrame) -> DataFrame:
+    """keys (shard, part, hi, lo, ...) with ``maybe``: false where the shard's filter, of filters (shard, part, cuckoo), is certain to lack the key."""
     names = keys.columns
 
     def probe(key, left, right):
-        data = right["cuckoo"][0].as_py() if right.num_rows else None
         lo = left["lo"].to_numpy().astype(np.uint64)
-        known = CuckooFilter.of_bytes(data).has(lo) if data else np.zeros(len(lo), bool)
+        known = np.zeros(len(lo), bool)
+        for data in right["cuckoo"].to_pylist():
+            known |= CuckooFilter.of_bytes(data).has(lo)
         return left.select(names).append_column("maybe", pa.array(known))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields) + ", maybe boolean"
-    return keys.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInArrow(probe, schema)
+    schema = ddl(keys.schema) + ", maybe boolean"
+    return keys.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInArrow(probe, schema)
 
 
 def add_documents(index: LineIndex, docs: DataFrame, min_chars: int = 1) -> LineIndex:
-    """The index after docs came in. Keys that the filters don't know need no look at the old counts."""
-    new = staged(maybe_known(_counted(document_keys(docs, min_chars), index.shards), index), "line-new")
+    """The index after docs came in. Keys that the filters don't know are inserted there and need no look at the old counts."""
+    whole = F.lit(0).alias("part")
+    new = staged(maybe_known(_counted(document_keys(docs, min_chars), index.shards).select("*", whole), index.filters.select("*", whole)).drop("part"), "line-new")
     known = new.where("maybe").drop("maybe")
     fresh = new.where("not maybe").drop("maybe")
     merged = index.refs.unionByName(known).groupBy("shard", "hi", "lo").agg(F.sum("n_docs").alias("n_docs"))
     refs = staged(merged.unionByName(fresh), "line-refs")
-    return LineIndex(refs, staged(_filters(refs), "line-filters"), index.shards)
+    shards = 1 + refs.count() // KEYS_PER_SHARD
+    if shards > 2 * index.shards:
+        refs = refs.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int"))
+        return LineIndex(refs, staged(_filters(refs), "line-filters"), shards)
+
+    def insert(key, filters, keys):
+        lo = np.unique(keys["lo"].to_numpy().astype(np.uint64))
+        cuckoo = CuckooFilter.of_bytes(filters["cuckoo"][0].as_py()) if filters.num_rows else CuckooFilter.for_keys(len(lo))
+        data = cuckoo.to_bytes() if cuckoo.add(lo) else None  # null: too full
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "cuckoo": pa.array([data], pa.binary())})
+
+    # keys that came along with an equal lower half are in already: a filter holds a mark once
+    inserted = staged(index.filters.groupBy("shard").cogroup(new.where("not maybe").groupBy("shard")).applyInArrow(insert, "shard int, cuckoo binary"), "line-inserted")
+    full = inserted.where("cuckoo is null").select("shard")
+    filters = inserted.where("cuckoo is not null").unionByName(_filters(refs.join(full, "shard", "left_semi")))
+    return LineIndex(refs, staged(filters, "line-filters"), index.shards)
 
 
 def delete_documents(index: LineIndex, docs: DataFrame, min_chars: int = 1) -> LineIndex:
@@ -212,20 +241,34 @@ def delete_documents(index: LineIndex, docs: DataFrame, min_chars: int = 1) -> L
     return LineIndex(counts.where("n_docs > 0"), staged(filters, "line-filters"), index.shards)
 
 
-def _repeated_keys(keys: DataFrame, index: LineIndex, own: bool, min_docs: int) -> DataFrame:
-    """(doc_id, drop): the keys of each document that at least min_docs documents have. own: the index has all of keys."""
-    repeated = index.refs.where(F.col("n_docs") >= min_docs).select("hi", "lo")
-    if not own:  # keys that the filters don't know needn't be looked up
-        asked = keys.select("hi", "lo").distinct().withColumn("shard", F.pmod("hi", F.lit(index.shards)).cast("int"))
-        repeated = maybe_known(asked, index).where("maybe").select("hi", "lo").join(repeated, ["hi", "lo"])
-    return keys.join(repeated, ["hi", "lo"]).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("drop"))
+def _repeated_keys(keys: DataFrame, index: LineIndex, min_docs: int) -> DataFrame:
+    """(row, gone): the keys of each row that at least min_docs documents have."""
+    often = staged(index.refs.where(F.col("n_docs") >= min_docs), "line-often")
+    # a shard is given to as many tasks as its lines need; counts are of all lines, or more where the index has more documents
+    parts = often.groupBy("shard").agg(F.ceil(F.sum("n_docs") / F.lit(LINES_AT_ONCE)).cast("int").alias("parts"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    filters = _filters(often).join(parts, "shard").select("shard", "cuckoo", every)
+    asked = keys.withColumn("shard", F.pmod("hi", F.lit(index.shards)).cast("int")).join(F.broadcast(parts), "shard")  # a row for each KEYS_PER_SHARD keys
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
+    maybe = maybe_known(asked, filters).where("maybe").select("row", "hi", "lo", "part")
+    exact = often.join(parts, "shard").select("hi", "lo", every)
+    return maybe.join(exact, ["hi", "lo", "part"]).groupBy("row").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
 
 
 def _with_drops(docs: DataFrame, index: LineIndex | None, min_docs: int, min_chars: int, out: str, build) -> DataFrame:
+    """What build makes of (whole, gone): each row as a struct and the keys of the lines to drop."""
     keys = staged(document_keys(docs, min_chars), "line-keys")
-    drops = _repeated_keys(keys, index or index_of_keys(keys), index is None, min_docs).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left").drop("__id")
-    return joined.mapInArrow(build, out)
+    drops = _repeated_keys(keys, index or index_of_keys(keys), min_docs)
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole"), _row())
+    return whole.join(drops, "row", "left").select("whole", "gone").mapInArrow(build, out)
+
+
+def _parts(batches):
+    """Slices of batches of (whole, gone): the columns of whole, and gone as a list."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield part.column("whole").flatten(), part.column("gone").to_pylist()
 
 
 def _kept(text: str | None, drop, min_chars: int) -> tuple[int, list[bytes]]:
@@ -242,30 +285,27 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_docs: int =
     index: what to count in, if it is more than docs. Every other column stays.
     """
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = names.index("text")
 
     def build(batches):
-        for whole in batches:
-            batch = pa.Table.from_batches([whole])
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [None if text is None else b"\n".join(_kept(text, drop, min_chars)[1]).decode() for text, drop in zip(part["text"].to_pylist(), part["drop"].to_pylist(), strict=True)]
-                part = part.drop_columns(["drop"]).set_column(names.index("text"), "text", pa.array(texts, part.schema.field("text").type))
-                yield from part.combine_chunks().to_batches()
+        for cols, gone in _parts(batches):
+            texts = [None if text is None else b"\n".join(_kept(text, keys, min_chars)[1]).decode() for text, keys in zip(cols[at].to_pylist(), gone, strict=True)]
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return _with_drops(docs, index, min_docs, min_chars, schema, build)
+    return _with_drops(docs, index, min_docs, min_chars, ddl(docs.schema), build)
 
 
 def line_dedup_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of every row of docs."""
 
     def build(batches):
-        for rows in rows_of(batches, "doc_id", "text", "drop"):
+        for (ids, texts), gone in _parts(batches):
             out = []
-            for doc_id, text, drop in rows:
-                n, kept = _kept(text, drop, min_chars)
-                out.append((doc_id, n, n - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+            for text, keys in zip(texts.to_pylist(), gone, strict=True):
+                n, kept = _kept(text, keys, min_chars)
+                out.append((n, n - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
+            n, dropped, sha = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha)], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     return _with_drops(docs.select("doc_id", "text"), None, min_docs, min_chars, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", build)
