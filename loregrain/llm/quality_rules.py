@@ -31,14 +31,15 @@ WORDS_AT_ONCE = 200_000
 class Rules:
     """min_words and max_repeat_share are the base rules; the rest limits maximal repeated substrings.
 
-    Words of long repeats also lie in repeated windows, so max_covered_share acts only below max_repeat_share.
+    Words of long repeats also lie in repeated windows, so max_covered_share acts only below max_repeat_share. Of the labelled good documents
+    that pass the base rules, at most 28 % are covered, by repeats of 13 words at most; the limits stand a little above that.
     """
 
     min_words: int = 50
     max_repeat_share: int = 50
     min_repeat: int = 8
-    max_covered_share: int = 40
-    max_longest: int = 200
+    max_covered_share: int = 30
+    max_longest: int = 50
 
 
 def repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
