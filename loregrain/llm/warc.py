@@ -32,6 +32,8 @@ from .common import rows_of, shared_dir, staged
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 GAP = 64 << 10
 READ = 8 << 20
+#: Archive bytes of a read task: at least, so that few records make few tasks, and at most.
+TASK = (1 << 20, 128 << 20)
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -175,7 +177,9 @@ def read(index: DataFrame) -> DataFrame:
             yield batch()
 
     chosen = index.select("file", "offset", "length")
-    return chosen.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    size = chosen.agg(F.sum("length")).first()[0] or 0
+    tasks = max(min(size // TASK[0], 2 * index.sparkSession.sparkContext.defaultParallelism), size // TASK[1]) + 1
+    return chosen.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
 
 
 def warc_digest(pages: DataFrame, least: int = 1000) -> DataFrame:
