@@ -5,7 +5,8 @@ substituted there. Windows of benchmark items and of documents meet where a seed
 laid over the document at the hit's offset, and the stretch of agreeing words through the hit is verified: of at least
 ``min_words`` places, or the whole item if it is shorter, ``percent`` agree.
 
-A contiguous window of 5 agreeing words is a seed too; it finds short items and overlaps with substitutions at regular places.
+A contiguous window of 5 agreeing words is a seed too; it finds overlaps with substitutions at regular places. Items of fewer than ``min_words``
+words have seeds of three words: with up to ``percent`` agreeing, one of these is always hit. They have to be in the document as a whole.
 
 Documents are not shuffled: the benchmark goes to them, in blocks of items of at most ``BLOCK`` words, as many as there are.
 
@@ -28,6 +29,9 @@ from .common import WordHashes, mix, rows_of
 
 #: Fixed masks; 1 marks a position that is hashed.
 MASKS = ("11111", "1101100011", "1010011011", "1100101101")
+#: For items of fewer than SHORT words.
+SHORT_MASKS = ("111", "1101")
+SHORT = 13
 SPAN = 10
 BLOCK = 500_000
 WORD = re.compile(rb"(?:[0-9a-z]|[\x80-\xff])+")
@@ -78,9 +82,10 @@ class Benchmark:
         words = [known.of(words_of(text)) for _, text in items]
         self.ids = [i for i, _ in items]
         self.words = words
+        self.masks = MASKS + SHORT_MASKS * any(5 <= len(w) < SHORT for w in words)
         keys, item, place = [], [], []
         for number, w in enumerate(words):
-            for mask in MASKS:
+            for mask in SHORT_MASKS if 5 <= len(w) < SHORT else MASKS:
                 h = seeds(w, mask)
                 keys.append(h)
                 item.append(np.full(len(h), number))
@@ -96,7 +101,7 @@ class Benchmark:
     def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
         """(item, offset of the item's first word in the document)."""
         out: set[tuple[int, int]] = set()
-        for mask in MASKS:
+        for mask in self.masks:
             h = seeds(words, mask)
             at = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
             if not len(at):
@@ -113,7 +118,10 @@ class Benchmark:
             own = self.words[item]
             low, high = max(0, -offset), min(len(own), len(words) - offset)
             same = own[low:high] == words[low + offset : high + offset]
-            n = best_stretch(same, min(min_words, len(own)), percent)
+            if len(own) < min_words:
+                n = len(own) * bool(len(same) == len(own) and 100 * int(same.sum()) >= percent * len(own))
+            else:
+                n = best_stretch(same, min_words, percent)
             if n:
                 found[item] = max(n, found.get(item, 0))
         return found
