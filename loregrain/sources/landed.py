@@ -23,10 +23,11 @@ def collected(pages: DataFrame, target: int, most_pages: int = 25) -> DataFrame:
     """
     last = pages.where((F.size("items") == 0) | ~F.col("has_more")).groupBy("source").agg(F.min("page").alias("last"))
     open_ = pages.where(F.col("page") <= most_pages).join(last, "source", "left").where("last is null or page <= last")
-    # places follow from the sizes of the pages before, so that no task sorts items
-    before = F.sum(F.size("items")).over(Window.orderBy("source", "page").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = open_.groupBy("source", "page").agg(F.first("items").alias("items")).withColumn("before", F.coalesce(before, F.lit(0)))
-    placed = sizes.where(F.col("before") < target).select("source", "page", "before", F.posexplode("items").alias("i", "item"))
+    # places follow from the sizes of the pages before: one row a page, at most most_pages a source, is put in order and no item
+    before = F.sum("n").over(Window.orderBy("source", "page").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = open_.groupBy("source", "page").agg(F.max(F.size("items")).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    wanted = sizes.where(F.col("before") < target).select("source", "page", "before")
+    placed = open_.dropDuplicates(["source", "page"]).join(wanted, ["source", "page"]).select("source", "page", "before", F.posexplode("items").alias("i", "item"))
     return placed.withColumn("place", F.col("before") + F.col("i")).where(F.col("place") < target).select("source", "page", "place", "item")
 
 
