@@ -8,7 +8,9 @@ laid over the document at the hit's offset, and the stretch of agreeing words th
 A contiguous window of 5 agreeing words is a seed too; it finds overlaps with substitutions at regular places. Items of fewer than ``min_words``
 words have seeds of three words: with up to ``percent`` agreeing, one of these is always hit. They have to be in the document as a whole.
 
-Documents are not shuffled: the benchmark goes to them, in blocks of items of at most ``BLOCK`` words, as many as there are.
+Seeds of items and of documents meet in a join on their hashes. First, documents leave out the seeds that a bitmap of the items' hashes, of ``BITS`` bits
+whatever the benchmark's size, is certain not to have; few rows remain. Hits are offsets of an item in a document, each taken once; the items' words
+join them, and the documents that have any are verified in a second reading.
 
 Words are runs of letters and digits, lower-cased. Defined results: null and empty texts, and items of fewer than 5 words, match nothing.
 Rows with equal (doc_id, item_id) come out once, with the longest overlap.
@@ -18,14 +20,13 @@ Null ids stay null. Empty tables give empty results. Other columns are not read;
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, rows_of
+from .common import WordHashes, mix, rows_of, staged
 
 #: Fixed masks; 1 marks a position that is hashed.
 MASKS = ("11111", "1101100011", "1010011011", "1100101101")
@@ -33,7 +34,8 @@ MASKS = ("11111", "1101100011", "1010011011", "1100101101")
 SHORT_MASKS = ("111", "1101")
 SHORT = 13
 SPAN = 10
-BLOCK = 500_000
+#: Of the bitmap, a power of two: 4 MB are broadcast.
+BITS = 1 << 25
 WORD = re.compile(rb"(?:[0-9a-z]|[\x80-\xff])+")
 
 
@@ -74,95 +76,108 @@ def best_stretch(same: np.ndarray, least: int, percent: int) -> int:
     return best
 
 
-class Benchmark:
-    """A block of items, ready to be looked up."""
+def _masks(n: int) -> tuple[str, ...]:
+    return SHORT_MASKS if 5 <= n < SHORT else MASKS
 
-    def __init__(self, items: list[tuple]):
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, the hashes of its words, whether it is short and the hash of it all, of each different item."""
+
+    def run(batches):
         known = WordHashes()
-        words = [known.of(words_of(text)) for _, text in items]
-        self.ids = [i for i, _ in items]
-        self.words = words
-        self.masks = MASKS + SHORT_MASKS * any(5 <= len(w) < SHORT for w in words)
-        keys, item, place = [], [], []
-        for number, w in enumerate(words):
-            for mask in SHORT_MASKS if 5 <= len(w) < SHORT else MASKS:
-                h = seeds(w, mask)
-                keys.append(h)
-                item.append(np.full(len(h), number))
-                place.append(np.arange(len(h)))
-        self.keys = np.concatenate([np.empty(0, np.uint64), *keys])
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.item = np.concatenate([np.empty(0, np.int64), *item])[order]
-        self.place = np.concatenate([np.empty(0, np.int64), *place])[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, offset of the item's first word in the document)."""
-        out: set[tuple[int, int]] = set()
-        for mask in self.masks:
-            h = seeds(words, mask)
-            at = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
-            if not len(at):
-                continue
-            low, high = np.searchsorted(self.keys, h[at]), np.searchsorted(self.keys, h[at], "right")
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                out.update(zip(self.item[a:b].tolist(), (p - self.place[a:b]).tolist(), strict=True))
-        return out
-
-    def overlaps(self, words: np.ndarray, min_words: int, percent: int) -> dict[int, int]:
-        """For each item that is found, the words of its longest verified overlap."""
-        found: dict[int, int] = {}
-        for item, offset in self.hits(words):
-            own = self.words[item]
-            low, high = max(0, -offset), min(len(own), len(words) - offset)
-            same = own[low:high] == words[low + offset : high + offset]
-            if len(own) < min_words:
-                n = len(own) * bool(len(same) == len(own) and 100 * int(same.sum()) >= percent * len(own))
-            else:
-                n = best_stretch(same, min_words, percent)
-            if n:
-                found[item] = max(n, found.get(item, 0))
-        return found
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """Blocks of items; each holds a bounded number of words."""
-    held, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        size += len(row["text"] or "") // 4 + 1
-        if size >= BLOCK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        for rows in rows_of(batches, "item_id", "text"):
+            words = [known.of(words_of(text)) for _, text in rows]
+            keys = [int(mix(np.r_[np.uint64(len(w)), w] * np.arange(1, 2 * len(w) + 3, 2, dtype=np.uint64)).sum().view(np.int64)) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64())), pa.array(keys, pa.int64())], ["item_id", "words", "item"])
+
+    return benchmark.select("item_id", "text").mapInArrow(run, "item_id long, words array<bigint>, item long").distinct()
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """h, item, place: the seeds of every item."""
+
+    def run(batches):
+        for rows in rows_of(batches, "item", "words"):
+            for item, words in rows:
+                w = np.array(words, np.int64).view(np.uint64)
+                for mask in _masks(len(w)):
+                    h = seeds(w, mask)
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item)), pa.array(np.arange(len(h), dtype=np.int32))], ["h", "item", "place"])
+
+    return items.select("item", "words").distinct().mapInArrow(run, "h long, item long, place int")
+
+
+def _bitmap(item_seeds: DataFrame) -> np.ndarray:
+    """Which values the leading bits of seed hashes have; summed up in Spark, at most BITS / 64 words come to the driver."""
+    word = F.shiftrightunsigned("h", 64 - BITS.bit_length() + 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (word % 64).cast("int"))
+    words = item_seeds.select(F.floor(word / 64).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits
+
+
+def _document_seeds(rows: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
+    """row, h, p: the seeds of rows (row, text) that the bitmap may have, each with the place of its first word."""
+    shipped = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        known, maybe = WordHashes(), np.unpackbits(shipped.value.view(np.uint8), bitorder="little").view(bool)
+        for some in rows_of(batches, "row", "text"):
+            out = []
+            for row, text in some:
+                words = known.of(words_of(text))
+                for mask in masks:
+                    h = seeds(words, mask)
+                    at = np.flatnonzero(maybe[_bits(h)])
+                    if len(at):
+                        out.append((np.full(len(at), row), h[at].view(np.int64), at.astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["row", "h", "p"])
+
+    return rows.mapInArrow(run, "row long, h long, p int")
+
+
+def _overlap(item: np.ndarray, words: np.ndarray, offset: int, min_words: int, percent: int) -> int:
+    """The words of the verified overlap of an item that is laid over a document at an offset; 0 if there is none."""
+    low, high = max(0, -offset), min(len(item), len(words) - offset)
+    same = item[low:high] == words[low + offset : high + offset]
+    if len(item) < min_words:
+        return len(item) * bool(len(same) == len(item) and 100 * int(same.sum()) >= percent * len(item))
+    return best_stretch(same, min_words, percent)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_words): documents that hold a part of an item, and the longest part's length in words."""
-    schema = "doc_id long, item_id long, n_words long"
-    spark = docs.sparkSession
-    found = None
-    for block in _blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(block)
-
-        def run(batches, shipped=shipped):
-            known, items = WordHashes(), Benchmark(shipped.value)
-            for rows in rows_of(batches, "doc_id", "text"):
-                out = []
-                for doc_id, text in rows:
-                    hits = items.overlaps(known.of(words_of(text)), min_words, percent)
-                    out += [(doc_id, items.ids[i], n) for i, n in hits.items()]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "item_id", "n_words"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+    items = staged(_items(benchmark), "benchmark-items")
+    found = staged(_item_seeds(items), "benchmark-seeds")
+    short = not items.where(F.size("words").between(5, SHORT - 1)).isEmpty()
+    # rows that share a key are verified each by itself
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("row"))
+    hits = _document_seeds(rows.select("row", "text"), _bitmap(found), MASKS + SHORT_MASKS * short).join(found, "h").select("row", "item", (F.col("p") - F.col("place")).alias("offset")).distinct()
+    hits = hits.join(items, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "offset", "words")).alias("hits"))
+
+    def run(batches):
+        known = WordHashes()
+        for some in rows_of(batches, "doc_id", "text", "hits"):
+            out = []
+            for doc_id, text, own in some:
+                words, best = known.of(words_of(text)), {}
+                for hit in own:
+                    n = _overlap(np.array(hit["words"], np.int64).view(np.uint64), words, hit["offset"], min_words, percent)
+                    if n:
+                        best[hit["item_id"]] = max(n, best.get(hit["item_id"], 0))
+                out += [(doc_id, i, n) for i, n in best.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "item_id", "n_words"])
+
+    verified = rows.join(hits, "row").select("doc_id", "text", "hits").mapInArrow(run, "doc_id long, item_id long, n_words long")
+    return verified.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, percent: int = 80) -> DataFrame:
