@@ -35,6 +35,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it was read; one of fewer files than the cluster has cores is dealt anew, so that small tables use all cores too."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def rows_of(batches, *names: str) -> Iterator[list[tuple]]:
     """Slices of Arrow batches as lists of tuples of the named columns."""
     for batch in batches:

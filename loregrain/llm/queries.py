@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
+from .common import spread
 from .decontaminate import contaminated
 from .jaccard_join import Likeness, jaccard_components
 from .line_dedup import line_dedup_digest
@@ -19,7 +20,7 @@ from .warc import warc_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
