@@ -53,8 +53,13 @@ def _step(acc: Column, piece: Column) -> Column:
     )
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, text, left, right>> of the leftmost matches, which don't overlap; text has no marks."""
+def matches(text: Column, pattern: str, needs: str | None = None) -> Column:
+    """array<struct<start, end, text, left, right>> of the leftmost matches, which don't overlap; text has no marks.
+
+    needs: a shorter pattern that every match has; texts without it are passed over.
+    """
+    if needs:
+        return F.when(text.rlike(needs), matches(text, pattern)).otherwise(F.array().cast(SPAN))
 
     def placed(blocks: Column) -> Column:
         sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, piece: n + _size(piece)))
@@ -77,8 +82,10 @@ def matches(text: Column, pattern: str) -> Column:
     return let(_pieces(text, pattern), cut)
 
 
-def filled(text: Column, pattern: str, valid) -> Column:
-    """text with FILL for every character of the matches that are valid, a function of struct<text>."""
+def filled(text: Column, pattern: str, valid, needs: str | None = None) -> Column:
+    """text with FILL for every character of the matches that are valid, a function of struct<text>; needs as for matches."""
+    if needs:
+        return let(text, lambda t: F.when(t.rlike(needs), filled(t, pattern, valid)).otherwise(t))
 
     def one(piece: Column) -> Column:
         match = F.substring(piece, F.lit(1), F.instr(piece, CLOSE) - 1)
