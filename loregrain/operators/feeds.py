@@ -48,3 +48,8 @@ def within_quota(rows: DataFrame, user: str, item: str, order: str, most: int =
 
 def tail(rows: DataFrame, cursor: int, limit: int = 50, key: str = "event_id") -> DataFrame:
     return rows.where(F.col(key) > cursor).orderBy(key).limit(limit)
+
+
+def over_limit(requests: DataFrame, key: str, time: str, limit: int = 20, width: str = "1 minute") -> DataFrame:
+    """(key, start, n): the windows in which a key asks more often than limit. On a stream with a watermark, windows are forgotten when they are over."""
+    return requests.groupBy(key, F.window(time, width).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(key, F.col("w.start").alias("start"), "n")

@@ -53,3 +53,8 @@ def bounded_groups(rows: DataFrame, group: str, key: str, most: int = 300) -> Da
     dealt = rows.join(parts, group).withColumn("part", F.pmod(hashed, F.col("parts"))).drop("parts")
     place = F.row_number().over(Window.partitionBy(group, "part").orderBy(key))
     return dealt.withColumn("slice", F.floor((place - 1) / F.lit(most)).cast("long"))
+
+
+def at_keys(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of some keys: one join for any number of look-ups. Spark broadcasts keys below its threshold."""
+    return rows.join(keys.select(*key).distinct(), key, "left_semi")

@@ -283,6 +283,32 @@ def api_values(spark, sf):
     return profiles.shown(_events(spark, sf).select(F.col("event_id").alias("_id"), "user_id", "ts"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y%m%d') || '-' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS batch_id FROM events")
+def batch_ids(spark, sf):
+    return _events(spark, sf).select("event_id", records.batch_id(F.col("ts"), F.col("event_id")).alias("batch_id"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+def point_lookups(spark, sf):
+    keys = tables.table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("event_id"))
+    return records.at_keys(_events(spark, sf), keys, ["event_id"]).select("event_id", "event_type")
+
+
+@query("SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 2")
+def rate_limit_exceeded(spark, sf):
+    asked = _events(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return feeds.over_limit(asked, "user_id", "ts", 2, "1 day").withColumn("start", F.unix_seconds("start"))
+
+
+@query(f"WITH {DOCS} SELECT topic_id, count(*) AS document_count, row_number() OVER (ORDER BY count(*) DESC, topic_id) AS place FROM d GROUP BY topic_id")
+def topics_listed(spark, sf):
+    """Topics by size; a few rows, which one window puts in order."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy(F.desc("document_count"), "topic_id"))
+    return knowledge.topic_counts(tables.documents(spark, sf)).withColumn("place", place)
+
+
 @query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def stream_upsert(spark, sf):
     return streams.upserted(streams.event_stream(spark, sf).select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
