@@ -65,3 +65,22 @@ def upserted(stream: DataFrame, key: list[str], order: str) -> DataFrame:
     query.awaitTermination()
     done = query.lastProgress
     return spark.read.schema(stream.schema).parquet(f"{path}/rows/v={done['batchId']}") if done else spark.createDataFrame([], stream.schema)
+
+
+def poll_sink(stream: DataFrame, path: str, checkpoint: str):
+    """Feed items (feed_id, guid, published_at, has_transcript) into versions of what is known, by the rules of ``polled``.
+
+    The cutoffs are those before the batch. A batch that comes again after a crash starts from the version before it and writes the same one.
+    """
+    from ..operators.profiles import polled
+
+    known_as = "feed_id string, guid string, published_at long, status string"
+    key = ["feed_id", "guid"]
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(known_as).parquet(f"{path}/v={epoch - 1}") if epoch else spark.createDataFrame([], known_as)
+        now = polled(batch, known).drop("change")
+        now.unionByName(known.join(now, key, "left_anti")).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
