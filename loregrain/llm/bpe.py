@@ -58,7 +58,7 @@ class WordBpe:
     """A tokenizer file's model."""
 
     #: Words of a generation; as many of the one before are remembered too.
-    REMEMBERED = 250_000
+    REMEMBERED = 120_000
     WIDE = 64
 
     def __init__(self, content: str):
@@ -249,6 +249,10 @@ class WordBpe:
             for word, tokens in zip(plain, self.words([self._spelt(w) for w in plain]), strict=True):
                 self.now[word] = (" ".join([decimal[t] for t in tokens]), " ".join([text[t] for t in tokens]))
 
+    def forget(self) -> None:
+        """Lets go of all words: a worker goes on to other tasks and keeps the model only."""
+        self.now, self.before = {}, {}
+
     def encode(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """For each text its ids, as decimals, and its decoded text, both joined by spaces."""
         words = [self.split(t or "") for t in texts]
@@ -299,6 +303,7 @@ def encode(docs: DataFrame, path: str, out: str = "ids") -> DataFrame:
             ids = [np.fromstring(x, np.int32, sep=" ") if x else np.empty(0, np.int32) for x, _ in model.encode(part.column("text").to_pylist())]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
+        model.forget()
 
     return docs.mapInArrow(run, f"{ddl(docs.schema)}, `{out}` array<int>")
 
@@ -328,5 +333,6 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
             both = model.encode(part.column("text").to_pylist())
             sha = [[hashlib.sha256(x.encode()).hexdigest() for x in col] for col in zip(*both, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([ids.count(" ") + bool(ids) for ids, _ in both], pa.int64()), pa.array(sha[0]), pa.array(sha[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -127,14 +127,15 @@ def _document_seeds(rows: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -
     shipped = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        known, maybe = WordHashes(), np.unpackbits(shipped.value.view(np.uint8), bitorder="little").view(bool)
+        known, maybe = WordHashes(), shipped.value.view(np.uint64)
         for some in rows_of(batches, "row", "text"):
             out = []
             for row, text in some:
                 words = known.of(words_of(text))
                 for mask in masks:
                     h = seeds(words, mask)
-                    at = np.flatnonzero(maybe[_bits(h)])
+                    bit = _bits(h)
+                    at = np.flatnonzero((maybe[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
                     if len(at):
                         out.append((np.full(len(at), row), h[at].view(np.int64), at.astype(np.int32)))
             if out:
