@@ -8,9 +8,10 @@ import os
 import duckdb
 import pytest
 
-from loregrain.plans import catalogue, workflows
+from loregrain.plans import catalogue, stateful, workflows
 
-QUERIES, ORACLES = catalogue.queries() | workflows.queries(), catalogue.oracle_sql() | workflows.oracle_sql()
+PLANS = catalogue, workflows, stateful
+QUERIES, ORACLES = ({k: v for p in PLANS for k, v in getattr(p, name)().items()} for name in ("queries", "oracle_sql"))
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
