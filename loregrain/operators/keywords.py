@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
+from ..sources.tables import staged
+from .clusters import clustered, whole_weight
 
 
 def tokens(text: Column) -> Column:
@@ -27,9 +26,9 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, weight); all documents count for the inverse frequency, those without tokens too."""
-    counts = term_counts(docs)
+def tfidf(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, weight); all documents count for the inverse frequency, those without tokens too. counts: their term_counts, where they are known."""
+    counts = term_counts(docs) if counts is None else counts
     n = docs.agg(F.count("*").alias("n"))  # one row
     joined = counts.join(document_frequency(counts), "term").join(F.broadcast(n))
     return joined.select("doc_id", "term", F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 6).alias("weight"))
@@ -90,32 +89,18 @@ def cluster_modes(weights: DataFrame, most: int = 4) -> DataFrame:
     return vector.groupBy("grp").agg(F.countDistinct("v").alias("n")).select("grp", F.least("n", F.lit(most)).alias("k"), F.when(F.col("n") > 1, "kmeans").otherwise("single_group").alias("mode"))
 
 
-def segment_topics(docs: DataFrame, most: int = 4, seed: int = 42) -> tuple[DataFrame, str]:
-    """doc_id and topic_id of one transcript's segments (doc_id, body), and the mode, as in ``cluster_modes``."""
-    features = ml_features(docs, unit=True)
-    k = features.select("features").distinct().limit(most).count()
-    if k < 2:
-        return features.select("doc_id", F.lit(0).alias("topic_id")), "single_group"
-    return KMeans(k=k, seed=seed, maxIter=20).fit(features).transform(features).select("doc_id", F.col("prediction").alias("topic_id")), "kmeans"
-
-
-def ml_features(docs: DataFrame, vocabulary: int = 20_000, unit: bool = False):
-    """The same features as a fitted Spark ML pipeline, for clustering: column ``features``; unit: of length 1."""
-    stages = [
-        RegexTokenizer(inputCol="body", outputCol="words", pattern="[^a-zA-Z]+"),
-        StopWordsRemover(inputCol="words", outputCol="terms"),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=1.0),
-        IDF(inputCol="counts", outputCol="weights" if unit else "features"),
-    ]
-    if unit:
-        stages.append(Normalizer(inputCol="weights", outputCol="features", p=2.0))
-    return Pipeline(stages=stages).fit(docs).transform(docs)
-
-
-def kmeans_topics(docs: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
-    """doc_id and topic_id by TF-IDF of any length, in k clusters or as many as there are documents; labels depend on how the data is dealt."""
-    features = ml_features(docs)
-    k = max(1, min(k, docs.limit(k).count()))
-    if k < 2:
-        return docs.select("doc_id", F.lit(0).alias("topic_id"))
-    return KMeans(k=k, seed=seed, maxIter=10).fit(features).transform(features).select("doc_id", F.col("prediction").alias("topic_id"))
+def kmeans_topics(docs: DataFrame, k: int = 8, rounds: int = 10, vocabulary: int = 20_000) -> DataFrame:
+    """doc_id and topic_id by TF-IDF of any length over the most frequent terms, in up to k clusters; the same however the data is dealt."""
+    counts = term_counts(docs)
+    common = counts.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary).select("term")
+    weights = tfidf(docs, counts).join(common, "term", "left_semi").where("weight > 0")
+    whole = F.lit(0).alias("grp")
+    rows = clustered(weights.select(whole, "doc_id", "term", whole_weight(F.col("weight")).alias("w")), docs.select(whole, "doc_id"), k, rounds)
+    return rows.select("doc_id", F.col("cluster").alias("topic_id"))
+
+
+def segment_clusters(docs: DataFrame, most: int = 4, rounds: int = 20) -> DataFrame:
+    """(grp, doc_id, cluster) of the segments (grp, doc_id, body) that have terms, within each transcript grp, all transcripts at once."""
+    weights = grouped_weights(docs).select("grp", "doc_id", "term", whole_weight(F.col("weight")).alias("w"))
+    weights = staged(weights, "segment-weights")
+    return clustered(weights, weights.select("grp", "doc_id").distinct(), most, rounds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,9 +44,14 @@ def polled(items: DataFrame, known: DataFrame, first: int = 3, later: int = 100)
     A feed's first poll takes its ``first`` newest items, later polls up to ``later``. Unknown items older than the newest known one of their feed are
     left out; those without a date, or as new, come in. A known item that waits for its transcript and has one now is queued; others stay as they are.
     """
+    # a guid that comes twice counts once: as the feed has it first, by ``at`` where items have that column
+    again = Window.partitionBy("feed_id", "guid").orderBy(*(F.col(c) for c in ("at",) if c in items.columns), F.desc_nulls_last("published_at"), F.desc("has_transcript"))
+    once = items.where("guid is not null").withColumn("place", F.row_number().over(again)).where("place = 1")
     newest = known.groupBy("feed_id").agg(F.max("published_at").alias("cutoff"), F.lit(True).alias("polled"))
     place = F.row_number().over(Window.partitionBy("feed_id").orderBy(F.desc_nulls_last("published_at"), "guid"))
-    seen = items.withColumn("place", place).join(newest, "feed_id", "left").where(F.col("place") <= F.when(F.col("polled"), later).otherwise(first))
+    # the limit for all comes first, as a literal: each task keeps no more rows of a feed than that
+    bounded = once.withColumn("place", place).where(F.col("place") <= max(first, later))
+    seen = bounded.join(newest, "feed_id", "left").where(F.col("place") <= F.when(F.col("polled"), later).otherwise(first))
     both = seen.join(known.select("feed_id", "guid", "status"), ["feed_id", "guid"], "left")
     late = F.col("status").isNull() & (F.col("published_at") < F.col("cutoff"))
     fresh = F.when(F.col("has_transcript"), "queued").otherwise("awaiting_transcript")
@@ -56,27 +61,32 @@ def polled(items: DataFrame, known: DataFrame, first: int = 3, later: int = 100)
     return both.where(~F.coalesce(late, F.lit(False))).select("feed_id", "guid", "published_at", status.alias("status"), change.alias("change"))
 
 
-def run_row(batch_id: str, source: str, rows: DataFrame) -> DataFrame:
-    """The batch row of a run over rows: counted by Spark in the same job that writes it."""
-    return rows.agg(F.count("*").alias("input_count"), F.count_if(F.col("score").isNotNull()).alias("valid_count")).select(
-        F.lit(batch_id).alias("batch_id"), F.lit(source).alias("source"), "input_count", "valid_count", (F.col("input_count") - F.col("valid_count")).alias("failed_count"), F.lit("success").alias("status")
-    )
+BATCH = "batch_id string, source string, input_count long, valid_count long, failed_count long, status string, error_message string"
 
 
-def score_batch(scores: DataFrame, batch_id: str, folder: str) -> DataFrame:
-    """Writes scores (user_id, knowledge_id, score) of a batch and its batch row under folder, the latter on failure too; returns the batch row.
+def batch_row(spark: SparkSession, folder: str, *values) -> DataFrame:
+    """Writes a row of BATCH under folder; one of the same batch_id takes its place."""
+    row = spark.createDataFrame([values], BATCH)
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/batches")
+    return row
+
 
-    A batch that runs again replaces its own rows.
+def score_batch(scores: DataFrame, batch_id: str, folder: str, inputs: DataFrame | None = None) -> DataFrame:
+    """Writes scores (user_id, knowledge_id, score) of a batch and its batch row under folder; returns the batch row, in which failed are rows without a score.
+
+    The write counts its own rows. A batch that runs again replaces its scores and its row, whatever came of it before; one that fails leaves a row
+    with the number of its inputs (those given, else its keys) and the error, and raises.
     """
+    spark, counts = scores.sparkSession, Observation()
+    seen = scores.observe(counts, F.count("*").alias("n"), F.count("score").alias("valid"))
     try:
-        scores.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/scores")
-        row = run_row(batch_id, "scores", scores.sparkSession.read.parquet(f"{folder}/scores").where(F.col("batch_id") == batch_id))
-    except Exception:
-        row = scores.sparkSession.createDataFrame([(batch_id, "scores", 0, 0, 0, "failed")], "batch_id string, source string, input_count long, valid_count long, failed_count long, status string")
-        row.write.mode("append").parquet(f"{folder}/batches")
+        seen.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/scores")
+    except Exception as error:
+        n = (inputs if inputs is not None else scores.select("user_id", "knowledge_id")).count()
+        batch_row(spark, folder, batch_id, "scores", n, 0, n, "failed", str(error).split("\n")[0][:300])
         raise
-    row.write.mode("append").parquet(f"{folder}/batches")
-    return row
+    n, valid = counts.get["n"], counts.get["valid"]
+    return batch_row(spark, folder, batch_id, "scores", n, valid, n - valid, "success", None)
 
 
 def shown(df: DataFrame, hidden: tuple[str, ...] = ("user_id",)) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 
 def batch_id(at: Column, seed: Column) -> Column:
     """``YYYYMMDD-`` and eight hexadecimal digits that follow from seed."""
@@ -22,6 +25,47 @@ def current_results(history: DataFrame, key: list[str], batch: str = "batch_id")
     return history.join(newest, [*key, batch], "left_semi")
 
 
+def upsert_buckets(new: DataFrame, path: str, key: list[str], order: str, buckets: int = 64) -> list[int]:
+    """Keeps the row of each key that is last by order, in Parquet under path, in folders by a hash of the key; returns the buckets it has written anew.
+
+    Only buckets that new has keys of are read and written; the merged rows are complete in the shared folder before the first file goes. The same
+    rows again change nothing. A bucket is one task's work: take so many that each fits one. path is always used with the same number.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    own = new.withColumn("bucket", bucket)
+    touched = sorted(r["bucket"] for r in own.select("bucket").distinct().collect())
+    if not touched:
+        return []
+    try:
+        old = spark.read.schema(own.schema).parquet(path).where(F.col("bucket").isin(touched))
+        own = old.unionByName(own)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    whole = F.struct(*new.columns)
+    merged = own.repartition("bucket").groupBy("bucket", *key).agg(F.max_by(whole, order).alias("row")).select("row.*", "bucket")
+    ready = staged(merged, "upsert")
+    ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
+def pointed_at(documents: DataFrame, results: DataFrame, key: tuple[str, str] = ("source", "doc_id")) -> DataFrame:
+    """documents with the result that their pointer names: the one of the same key and of batch ``mining.batch_id``; documents without one are left out."""
+    named = documents.withColumn("batch_id", F.col("mining.batch_id"))
+    return named.join(results, [*key, "batch_id"])
+
+
+def recovered(items: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """After a crash: items (.., status, batch_id) in work are queued again, and the batches (batch_id, status, failed_count, error_message) that had them have failed."""
+    lost = items.where("status = 'processing'").select("batch_id").distinct().withColumn("__lost", F.lit(True))
+    after = batches.join(lost, "batch_id", "left")
+    hit = F.col("__lost").isNotNull()
+    for name, value in (("status", F.lit("failed")), ("failed_count", F.lit(1)), ("error_message", F.lit("worker_interrupted"))):
+        after = after.withColumn(name, F.when(hit, value).otherwise(F.col(name)))
+    return items.withColumn("status", F.when(F.col("status") == "processing", "queued").otherwise(F.col("status"))), after.drop("__lost")
+
+
 def latest_batches(batches: DataFrame, shown: list[str], k: int = 5) -> DataFrame:
     """The shown columns of the k batches that started last."""
     return batches.orderBy(F.desc("started_at"), "batch_id").limit(k).select(*shown)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.stopwords import ENGLISH
+from ..operators.clusters import clusters_sql
 
 STOP = ", ".join(f"'{w}'" for w in ENGLISH if w.isalpha())
 DOCS = r"""d AS (SELECT doc_id, source, lang, n_chars, text AS body, split_part(text, chr(10), 1) AS title, source || '/' || split_part(text, chr(10), 1) AS source_url,
@@ -74,6 +75,10 @@ o{i} AS (SELECT doc_id, source_url, hash FROM r{i} WHERE NOT taken AND source_ur
     return out + " " + " UNION ALL ".join(f"SELECT doc_id FROM k{i}" for i in range(rounds))
 
 
+KMEANS = f"""{TF}, often AS (SELECT term FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000),
+kw AS MATERIALIZED (SELECT 0 AS grp, doc_id, term, round(weight * 1000) AS w FROM w SEMI JOIN often USING (term) WHERE weight > 0),
+kd AS (SELECT 0 AS grp, doc_id FROM d), {clusters_sql("kw", "kd", 8, 10)} SELECT doc_id, cluster AS topic_id FROM member"""
+
 REASON = "CASE WHEN source IS NULL OR source = '' OR title = '' OR body IS NULL OR body = '' OR source_url = '' THEN 'missing_field' WHEN NOT regexp_matches(body, '[a-zA-Z]{2,}') THEN 'no_usable_text' ELSE '' END"
 
 SQL: dict[str, str] = {
@@ -96,6 +101,7 @@ FROM (SELECT *, regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) AS r FROM page
   / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS score
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other_id) AS rank FROM s) WHERE rank <= 5""",
+    "kmeans_topics": KMEANS,
     "topic_aggregation": f"WITH {DOCS} SELECT topic_id, count(*) AS document_count FROM d GROUP BY topic_id",
     "topic_top_terms": f"{TERMS} SELECT topic_id, term, weight, doc_id, rank FROM tt",
     "knowledge_units": f"{UNITS} SELECT * FROM units",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contract, feeds, keywords, knowledge, profiles, records
 from ..sources import landed, tables, transcripts
+from ..operators.clusters import clusters_sql
 from ..streaming import events as streams
 from . import catalogue
 from .oracle import DOCS, PROFILE, STOP, TF, cosine
@@ -224,6 +225,17 @@ def segment_groups(spark, sf):
     return keywords.cluster_modes(keywords.grouped_weights(_segments(spark, sf))).withColumnRenamed("grp", "conv_id")
 
 
+@query(f"WITH {GROUPED}, sw AS MATERIALIZED (SELECT grp, doc_id, term, round(weight * 1000) AS w FROM w), {clusters_sql('sw', '(SELECT DISTINCT grp, doc_id FROM sw)', 4, 20)} SELECT grp AS conv_id, doc_id AS segment, cluster FROM member")
+def segment_clusters(spark, sf):
+    return keywords.segment_clusters(_segments(spark, sf)).select(F.col("grp").alias("conv_id"), F.col("doc_id").alias("segment"), "cluster")
+
+
+@query(f"WITH {GROUPED}, sw AS MATERIALIZED (SELECT grp, doc_id, term, round(weight * 1000) AS w FROM w), {clusters_sql('sw', '(SELECT DISTINCT grp, doc_id FROM sw)', 4, 20)} SELECT grp AS conv_id, cluster, count(*) AS n_segments, min(doc_id) AS first_segment FROM member GROUP BY grp, cluster")
+def cluster_groups(spark, sf):
+    """The clusters of each transcript: sizes and first segments, by a partial aggregate and no list of members."""
+    return keywords.segment_clusters(_segments(spark, sf)).groupBy(F.col("grp").alias("conv_id"), "cluster").agg(F.count("*").alias("n_segments"), F.min("doc_id").alias("first_segment"))
+
+
 @query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<nav\b[^>]*>.*?</nav\s*>|<header\b[^>]*>.*?</header\s*>|<footer\b[^>]*>.*?</footer\s*>|<aside\b[^>]*>.*?</aside\s*>', ' ', 'g'), '(?i)<br\s*/?>', chr(10), 'g') AS page FROM pages),
 p AS (SELECT page_id, array_to_string(list_transform(string_split_regex(page, '(?i)<(?:p|cite)\b[^>]*>')[2:], lambda x: regexp_replace(x, '(?is)</(?:p|cite)\s*>.*', '')), chr(10)) AS told FROM b),
 t AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(told, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS told FROM p)
@@ -240,6 +252,26 @@ def result_pointers(spark, sf):
     return rows.select("user_id", "mining.batch_id", F.col("mining.topic_cluster_id").alias("topic"), "mining.keyword_count")
 
 
+@query("""WITH p AS (SELECT 'src' || (user_id % 3) AS source, user_id AS doc_id, max(event_id % 7) AS batch_id FROM events WHERE event_type = 'view' GROUP BY user_id)
+SELECT p.source, p.doc_id, p.batch_id, count(*) AS n_results FROM p JOIN events e ON e.user_id = p.doc_id AND e.event_id % 7 = p.batch_id GROUP BY ALL""")
+def pointed_results(spark, sf):
+    rows = _events(spark, sf).select(F.concat(F.lit("src"), (F.col("user_id") % 3).cast("string")).alias("source"), F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).alias("batch_id"), "event_type")
+    documents = rows.where("event_type = 'view'").groupBy("source", "doc_id").agg(F.struct(F.max("batch_id").alias("batch_id")).alias("mining"))
+    return records.pointed_at(documents, rows.drop("event_type")).groupBy("source", "doc_id", "batch_id").agg(F.count("*").alias("n_results"))
+
+
+@query("""WITH lost AS (SELECT DISTINCT event_id % 40 AS batch_id FROM events WHERE event_type = 'purchase')
+SELECT event_id % 40 AS batch_id, CASE WHEN event_id % 40 IN (FROM lost) THEN 'failed' ELSE 'success' END AS batch_status, CASE WHEN event_id % 40 IN (FROM lost) THEN 1 ELSE 0 END AS failed_count,
+CASE WHEN event_type IN ('purchase', 'view') THEN 'queued' ELSE 'ready' END AS status, count(*) AS n FROM events GROUP BY ALL""")
+def recovered_items(spark, sf):
+    """Items and batches after a crash, counted."""
+    status = F.when(F.col("event_type") == "purchase", "processing").when(F.col("event_type") == "view", "queued").otherwise("ready")
+    items = _events(spark, sf).select("event_id", status.alias("status"), (F.col("event_id") % 40).alias("batch_id"))
+    batches = items.select("batch_id").distinct().select("batch_id", F.lit("success").alias("status"), F.lit(0).alias("failed_count"), F.lit(None).cast("string").alias("error_message"))
+    now, after = records.recovered(items, batches)
+    return now.join(after.withColumnRenamed("status", "batch_status"), "batch_id").groupBy("batch_id", "batch_status", "failed_count", "status").agg(F.count("*").alias("n"))
+
+
 @query("SELECT DISTINCT event_id % 25 AS topic_id FROM events WHERE event_type = 'signup' AND event_id % 25 NOT IN (SELECT CAST(substr(source, 4) AS BIGINT) FROM documents)")
 def topics_unknown(spark, sf):
     return contract.unknown(_events(spark, sf).where("event_type = 'signup'").select((F.col("event_id") % 25).alias("topic_id")), tables.documents(spark, sf), "topic_id")
@@ -275,7 +307,7 @@ def matched_keywords(spark, sf):
 @query("SELECT 'b1' AS batch_id, 'scores' AS source, count(*) AS input_count, count(value) AS valid_count, count(*) - count(value) AS failed_count, 'success' AS status FROM events")
 def score_batch(spark, sf):
     scores = _events(spark, sf).select("user_id", F.col("event_id").cast("string").alias("knowledge_id"), F.col("value").alias("score"))
-    return profiles.score_batch(scores, "b1", f"{tables.shared_folder(spark)}/scores-{uuid.uuid4().hex}")
+    return profiles.score_batch(scores, "b1", f"{tables.shared_folder(spark)}/scores-{uuid.uuid4().hex}").drop("error_message")
 
 
 @query("SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts FROM events")

@@ -64,18 +64,35 @@ def paper_record(entry: Column) -> Column:
     )
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose . and .. segments have taken effect: one pass over its segments, in which .. takes back the one before."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        # the first, empty segment of an absolute path stays
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.least(F.size(done), F.lit(1))))).when(part == ".", done).otherwise(F.array_append(done, part)),
+    )
+    return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
 def resolved(url: Column, base: Column) -> Column:
-    """A link of a page at base: whole links stay, those from // on, from / on and relative ones are completed."""
-    scheme = F.regexp_extract(base, r"^([^:/?#]+:)", 1)
-    root = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
-    folder = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*/(?:[^?#]*/)?", 0)
-    return (
-        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url)
-        .when(url.startswith("//"), F.concat(scheme, url))
-        .when(url.startswith("/"), F.concat(root, url))
-        .when(url == "", base)
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), url))
+    """A link of a page at base, by the rules of RFC 3986, as most readers apply them: links of another scheme stay, one of the base's own scheme without
+    a host counts as relative, and the path of a link that has a host is left as it is."""
+    part = lambda c, i: F.regexp_extract(c, r"^(?:([^:/?#]+):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$", i)
+    scheme, host, path, asked = (part(base, i) for i in range(1, 5))
+    own_scheme, own_host, own_path, own_asked, mark = (part(url, i) for i in range(1, 6))
+    folder = F.when((path == "") & (host != ""), "/").otherwise(F.regexp_extract(path, "^(.*/)?", 0))
+    joined = F.when(own_path == "", path).when(own_path.startswith("/"), without_dots(own_path)).otherwise(without_dots(F.concat(folder, own_path)))
+    whole = F.concat(
+        scheme,
+        F.lit(":"),
+        F.when(own_host != "", F.concat(own_host, own_path)).otherwise(F.concat(host, joined)),
+        F.when((own_host == "") & (own_path == "") & (own_asked == ""), asked).otherwise(own_asked),
+        mark,
     )
+    return F.when(url == "", base).when((own_scheme != "") & (F.lower(own_scheme) != F.lower(scheme)), url).otherwise(whole)
 
 
 def short_title(title: Column, instead: Column) -> Column:

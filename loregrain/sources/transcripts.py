@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .entities import unescaped
 from .markup import HIDDEN, without_elements
 
 SUBTITLES = ("text/vtt", "application/x-subrip", "application/srt", "text/srt")
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def media_type(mime: Column) -> Column:
@@ -28,32 +28,26 @@ def json_text(body: Column) -> Column:
 def subtitle_lines(body: Column) -> Column:
     """Spoken lines of WebVTT or SRT: no header, cue times or numbers, and no NOTE, STYLE or REGION blocks, which end at a blank line.
 
-    Tags go; the entities in ENTITIES become characters, others stay.
+    Tags go, entities become characters.
     """
     unix = F.regexp_replace(body, r"\r\n?", "\n")
     plain = F.regexp_replace(unix, r"(?ms)^[ \t]*(NOTE|STYLE|REGION).*?(?=^[ \t]*$|\z)", "")
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(x))
     spoken = F.filter(lines, lambda x: (x != "") & (x != "WEBVTT") & ~x.contains("-->") & ~x.rlike(r"^\d+$"))
-    return _unescaped(F.regexp_replace(F.array_join(spoken, "\n"), "<[^>\n]*>", ""))
+    return unescaped(F.regexp_replace(F.array_join(spoken, "\n"), "<[^>\n]*>", ""))
 
 
 def paragraph_lines(html: Column) -> Column:
     """The lines of p and cite elements of a transcript's page, less scripts, styles, navigation, heads, feet and asides. br ends a line.
 
-    An element that isn't closed ends where the next one begins. Entities as in ``subtitle_lines``.
+    An element that isn't closed ends where the next one begins. Entities become characters.
     """
     page = F.regexp_replace(without_elements(html, (*HIDDEN, "nav", "header", "footer", "aside")), r"(?i)<br\s*/?>", "\n")
     told = F.regexp_extract_all(page, F.lit(r"(?is)<(p|cite)\b[^>]*>(.*?)(?=</\1\s*>|<(?:p|cite)\b|\z)"), F.lit(2))
-    plain = _unescaped(F.regexp_replace(F.array_join(told, "\n"), "<[^>]*>", ""))
+    plain = unescaped(F.regexp_replace(F.array_join(told, "\n"), "<[^>]*>", ""))
     return F.array_join(F.filter(F.transform(F.split(plain, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""), "\n")
 
 
-def _unescaped(text: Column) -> Column:
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
-
-
 def transcript_text(body: Column, mime: Column) -> Column:
     """The text of a transcript by its media type; null for other types, for none and for markup that calls itself text."""
     kind = media_type(mime)

@@ -40,21 +40,14 @@ def run_once(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/all")
 
 
-def upsert_sink(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str):
-    """Keeps the latest row of each key in versions under path; a batch that comes again writes the same version again.
-
-    Parquet can't be updated in place, so each version is written whole; give larger batches for fewer versions.
-    """
-    from ..operators.feeds import latest
+def upsert_sink(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str, mode: str = "append"):
+    """Keeps the latest row of each key under path, in buckets by key; a micro-batch rewrites the buckets that it touches, and one that comes again changes nothing."""
+    from ..operators.records import upsert_buckets
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if epoch:  # the batch before has committed its version
-            rows = spark.read.parquet(f"{path}/v={epoch - 1}").unionByName(batch)
-        latest(rows, key, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        upsert_buckets(batch, path, key, order, int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upserted(stream: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -63,24 +56,13 @@ def upserted(stream: DataFrame, key: list[str], order: str) -> DataFrame:
     path = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
     query = upsert_sink(stream, f"{path}/rows", key, order, f"{path}/checkpoint")
     query.awaitTermination()
-    done = query.lastProgress
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows/v={done['batchId']}") if done else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns) if query.lastProgress else spark.createDataFrame([], stream.schema)
 
 
 def poll_sink(stream: DataFrame, path: str, checkpoint: str):
-    """Feed items (feed_id, guid, published_at, has_transcript) into versions of what is known, by the rules of ``polled``.
-
-    The cutoffs are those before the batch. A batch that comes again after a crash starts from the version before it and writes the same one.
-    """
-    from ..operators.profiles import polled
-
-    known_as = "feed_id string, guid string, published_at long, status string"
-    key = ["feed_id", "guid"]
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema(known_as).parquet(f"{path}/v={epoch - 1}") if epoch else spark.createDataFrame([], known_as)
-        now = polled(batch, known).drop("change")
-        now.unionByName(known.join(now, key, "left_anti")).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+    """Feed items (feed_id, guid, published_at, has_transcript) into what is known under path, by the rules of ``state.polled_changes``: its state decides, so that
+    a micro-batch that comes again after a crash decides the same."""
+    from .state import polled_changes
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    items = stream if "at" in stream.columns else stream.withColumn("at", F.lit(None).cast("long"))
+    return upsert_sink(polled_changes(items), path, ["feed_id", "guid"], "poll", checkpoint, "update")

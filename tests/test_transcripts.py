@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import html
+from html.entities import html5
+from urllib.parse import urljoin
+
+from pyspark.sql import functions as F
+
 from loregrain.operators import records
-from loregrain.sources import transcripts
+from loregrain.sources import landed, transcripts
+from loregrain.sources.entities import unescaped
 
 
 def test_formats(spark):
@@ -15,6 +22,23 @@ def test_formats(spark):
         assert r["got"] == r["want"], r
 
 
+def test_every_entity(spark):
+    told = [f"&{name}" for name in html5] + [f"&{name}x" for name in list(html5)[::9]] + [f"&#{i};" for i in (*range(300), 55296, 64976, 65535, 1114111, 1114112, 99999999999, 128512)]
+    told += ["&#x1F600;", "&#X41", "&#0000065;", "&#x;", "&#;", "&", "&&amp;", "&notit;", "&ampamp;", "&#8217;s &eacute;t&eacute", "plain", "", "&" + "x" * 50 + ";", "x &lt y&gt z"]
+    df = spark.createDataFrame([(t,) for t in told], "told string")
+    for r in df.withColumn("got", unescaped(df["told"])).collect():
+        assert r["got"] == html.unescape(r["told"]), r
+    assert spark.createDataFrame([(None,)], "t string").select(unescaped(F.col("t")).alias("t")).first()["t"] is None
+
+
+def test_links_of_pages(spark):
+    bases = ["http://a/b/c/d;p?q", "http://a", "http://a/b", "https://h.x:80/p/q/?z#f", "http://a/b/../c/./d?x=1#y"]
+    links = "g:h g ./g g/ /g //g ?y g?y #s g#s g?y#s ;x g;x . ./ .. ../ ../g ../.. ../../ ../../g ../../../g /./g /../g g. ..g ./../g ./g/. g/./h g/../h g;x=1/./y g?y/./x g#s/../x c/../d //h/a/../b http:g mailto:x@y".split() + [""]
+    df = spark.createDataFrame([(b, u) for b in bases for u in links], "base string, url string")
+    for r in df.withColumn("got", landed.resolved(df["url"], df["base"])).collect():
+        assert r["got"] == urljoin(r["base"], r["url"]), r
+
+
 def test_dates(spark):
     rows = [("Fri, 02 Jan 2026 03:04:05 +0100", 1767319445), ("2 Jan 2026 03:04:05", 1767323045), ("Fri, 02 Jan 2026 03:04:05 GMT", 1767323045), ("soon", None), ("", None), (None, None)]
     df = spark.createDataFrame(rows, "value string, want long")

@@ -50,12 +50,16 @@ def test_text_edges(spark):
     weights = keywords.grouped_weights(twins)
     assert {r["weighting"] for r in weights.collect()} == {"term_frequency"}
     assert rows(keywords.cluster_modes(weights), "k", "mode") == [(1, "single_group")]
-    assert keywords.segment_topics(twins)[1] == "single_group"
-    mixed = spark.createDataFrame([(i, ("spark cluster data " if i % 2 else "cooking soup onion ") * 3 + f"w{i}") for i in range(8)], "doc_id long, body string")
-    topics, mode = keywords.segment_topics(mixed)
-    assert mode == "kmeans" and topics.count() == 8
+    mixed = spark.createDataFrame([(i, ("spark cluster data " if i % 2 else "cooking soup onion ") * 3 + f"w{i}", i // 100) for i in [*range(8), 100]], "doc_id long, body string, grp int")
+    both = mixed.unionByName(twins.withColumn("grp", F.lit(2)))
+    for df in (both, both.repartition(7)):
+        got = {r["doc_id"]: r["cluster"] for r in keywords.segment_clusters(df, most=2).collect()}
+        assert len({got[i] for i in range(0, 8, 2)}) == len({got[i] for i in range(1, 8, 2)}) == 1 and got[0] != got[1]
+        assert got[100] == got[4] == 0 or got[4] != got[5]
     assert {r["topic_id"] for r in keywords.kmeans_topics(mixed.limit(1)).collect()} == {0}
-    assert keywords.kmeans_topics(mixed).select("topic_id").distinct().count() <= 8
+    assert rows(keywords.kmeans_topics(mixed)) == rows(keywords.kmeans_topics(mixed.repartition(5)))
+    assert rows(keywords.kmeans_topics(docs.where("doc_id < 3")), "topic_id") == [(0,), (0,)]
+    assert keywords.kmeans_topics(docs.limit(0)).count() == 0
 
 
 def test_bounded_groups_hold_at_most(spark):
@@ -73,6 +77,12 @@ def test_late_items_and_first_poll(spark):
     later = spark.createDataFrame([("f", f"d{i:02}", i, i == 14) for i in range(1, 18)] + [("f", "none", None, False), ("f", "equal", 16, False)], item)
     second = profiles.polled(later, got.select("feed_id", "guid", "published_at", "status"))
     assert rows(second.where("change <> 'none'"), "guid", "change") == [("d14", "queued"), ("d17", "new"), ("equal", "new"), ("none", "new")]
+    # a guid that comes twice stays one row, poll after poll
+    twice = spark.createDataFrame([("g", "a", 1, False, 1), ("g", "a", 1, True, 2), ("g", None, 2, True, 3)], item + ", at long")
+    now = spark.createDataFrame([], known)
+    for _ in range(3):
+        now = profiles.polled(twice, now).select("feed_id", "guid", "published_at", "status")
+        assert rows(now) == [("g", "a", 1, "awaiting_transcript")]
 
 
 def test_quota(spark):
@@ -140,4 +150,6 @@ def test_score_batch_replaces_itself_and_records_failures(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "scores")).count() == 2
     with pytest.raises(Exception, match="(?i)divi"):
         profiles.score_batch(scores.withColumn("score", F.expr("user_id / (user_id - user_id)")), "b2", str(tmp_path))
-    assert ("b2", "failed") in rows(spark.read.parquet(str(tmp_path / "batches")), "batch_id", "status")
+    assert rows(spark.read.parquet(str(tmp_path / "batches")), "batch_id", "status", "input_count", "valid_count", "failed_count") == [("b1", "success", 2, 1, 1), ("b2", "failed", 2, 0, 2)]
+    profiles.score_batch(scores.limit(1), "b2", str(tmp_path))
+    assert ("b2", "success", 1) in rows(spark.read.parquet(str(tmp_path / "batches")), "batch_id", "status", "input_count")
