@@ -2,7 +2,8 @@
 
 An index has two tables. ``refs`` holds, for every line key, in how many documents it occurs. ``filters`` holds for every
 shard of the key space a cuckoo filter over the shard's keys. When documents are added, keys that the filter has never
-seen go into ``refs`` and into the filter as they are; only the others are added up with ``refs``. When documents are taken away, counts go down, and
+seen go into ``refs`` as they are; only the others are added up with ``refs``. Keys that ``refs`` lacked are inserted into the filter even if it answered
+"maybe": each lower half of a live key owns a mark, and takes out its own only. When documents are taken away, counts go down, and
 keys that nobody refers to any more leave both tables, which a Bloom filter could not do. A filter that gets full is made anew from its shard's keys, and the
 shards are dealt anew when there are too many keys for them.
 
@@ -117,7 +118,7 @@ class LineIndex:
     """refs: (shard, hi, lo, n_docs); filters: (shard, cuckoo)."""
 
     refs: DataFrame
-    filters: DataFrame
+    filters: DataFrame | None  # None: only counts are asked for
     shards: int
 
 
@@ -176,10 +177,16 @@ def build_index(docs: DataFrame, min_chars: int = 1) -> LineIndex:
 
 
 def index_of_keys(keys: DataFrame) -> LineIndex:
+    index = counts_of_keys(keys)
+    return LineIndex(index.refs, staged(_filters(index.refs), "line-filters"), index.shards)
+
+
+def counts_of_keys(keys: DataFrame) -> LineIndex:
+    """An index without filters, which look-ups of lines make for themselves from the keys that many documents have."""
     counts = staged(keys.groupBy("hi", "lo").agg(F.count("*").alias("n_docs")), "line-counts")
     shards = 1 + counts.count() // KEYS_PER_SHARD
     refs = counts.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int"))
-    return LineIndex(refs, staged(_filters(refs), "line-filters"), shards)
+    return LineIndex(refs, None, shards)
 
 
 def maybe_known(keys: DataFrame, filters: DataFrame) -> DataFrame:
@@ -198,7 +205,7 @@ def maybe_known(keys: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def add_documents(index: LineIndex, docs: DataFrame, min_chars: int = 1) -> LineIndex:
-    """The index after docs came in. Keys that the filters don't know are inserted there and need no look at the old counts."""
+    """The index after docs came in. Keys that the filters don't know need no look at the old counts; those that turn out new all get marks of their own."""
     whole = F.lit(0).alias("part")
     new = staged(maybe_known(_counted(document_keys(docs, min_chars), index.shards).select("*", whole), index.filters.select("*", whole)).drop("part"), "line-new")
     known = new.where("maybe").drop("maybe")
@@ -216,8 +223,10 @@ def add_documents(index: LineIndex, docs: DataFrame, min_chars: int = 1) -> Line
         data = cuckoo.to_bytes() if cuckoo.add(lo) else None  # null: too full
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "cuckoo": pa.array([data], pa.binary())})
 
-    # keys that came along with an equal lower half are in already: a filter holds a mark once
-    inserted = staged(index.filters.groupBy("shard").cogroup(new.where("not maybe").groupBy("shard")).applyInArrow(insert, "shard int, cuckoo binary"), "line-inserted")
+    # lower halves that the table had not: those that the filter lacks, and its false positives; keys with an equal lower half share a mark
+    lower = index.refs.select("shard", "lo").distinct()
+    unmarked = fresh.select("shard", "lo").unionByName(known.select("shard", "lo").join(lower, ["shard", "lo"], "left_anti"))
+    inserted = staged(index.filters.groupBy("shard").cogroup(unmarked.groupBy("shard")).applyInArrow(insert, "shard int, cuckoo binary"), "line-inserted")
     full = inserted.where("cuckoo is null").select("shard")
     filters = inserted.where("cuckoo is not null").unionByName(_filters(refs.join(full, "shard", "left_semi")))
     return LineIndex(refs, staged(filters, "line-filters"), index.shards)
@@ -258,7 +267,7 @@ def _repeated_keys(keys: DataFrame, index: LineIndex, min_docs: int) -> DataFram
 def _with_drops(docs: DataFrame, index: LineIndex | None, min_docs: int, min_chars: int, out: str, build) -> DataFrame:
     """What build makes of (whole, gone): each row as a struct and the keys of the lines to drop."""
     keys = staged(document_keys(docs, min_chars), "line-keys")
-    drops = _repeated_keys(keys, index or index_of_keys(keys), min_docs)
+    drops = _repeated_keys(keys, index or counts_of_keys(keys), min_docs)
     whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole"), _row())
     return whole.join(drops, "row", "left").select("whole", "gone").mapInArrow(build, out)
 

@@ -60,3 +60,23 @@ def test_lines_of_a_larger_index_and_clashing_names(spark):
     assert got.columns == docs.columns
     assert sorted(r["text"] for r in got.collect()) == ["y", "z", "z"]
     assert sorted(r["text"] for r in line_dedup.dedup_lines(docs, min_docs=10).collect()) == ["x\ny", "x\nz", "x\nz"]
+
+
+def test_false_positives_own_their_marks(spark, monkeypatch):
+    """Filters that take every key for known: what comes in and goes out again must leave them as they were."""
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = line_dedup.build_index(frame([(i, f"line {i}") for i in range(60)]))
+    added = frame([(1000 + i, f"other {i}") for i in range(400)])
+    monkeypatch.setattr(line_dedup, "maybe_known", lambda k, f: k.withColumn("maybe", line_dedup.F.lit(True)))
+    both = line_dedup.add_documents(index, added)
+    monkeypatch.undo()
+    holds(both)
+    back = line_dedup.delete_documents(both, added)
+    holds(back)
+    assert counted(back) == counted(index)
+    more = frame([(2000 + i, "\n".join(f"line {j}" for j in range(60))) for i in range(9)])
+    full = line_dedup.add_documents(back, more)
+    assert set(counted(full).values()) == {10} and len(counted(full)) == 60
+    docs = frame([(1, "line 1\nown"), (2, "line 59")])
+    texts = lambda i: sorted(r["text"] for r in line_dedup.dedup_lines(docs, i, min_docs=10).collect())
+    assert texts(full) == ["", "own"]
