@@ -3,14 +3,17 @@
 Base rules give e-mail, IP, card and phone spans. Generators propose more where base spans leave text over: runs of digits, groups
 of digits, number-like runs with any separators, and e-mail-like strings, spelt-out ones too; their spans may overlap. Each has format features (digits, separators, groups,
 checks) and context features (the characters and words around it). Gradient-boosted trees learn from base spans of a bounded
-sample of documents, from altered copies of these as people write them, with other separators, without a plus, with a mistyped digit, or spelt out, and from
-numbers that are no personal data: dates, times, amounts, versions, ISBNs and the like. The threshold is calibrated on the third of these rows that the trees don't see:
-the lowest score from which on at least ``PRECISION`` of the rows are personal. Of candidates from it on that overlap, the one with the best score is added, the longest of equal ones.
+sample of documents and from copies of these as people write them too: e-mail addresses spelt out, card numbers with other separators, phone numbers without
+a plus after a word such as phone. For every kind of copy there are others that look alike and are no personal data: handles and decorators, addresses whose parts
+are too large, card numbers that fail their check, the same digits after a word such as order or isbn, and dates, times, amounts, versions and the like.
+The threshold is calibrated on the third of these rows that the trees don't see: the lowest score from which on at least ``PRECISION`` of the rows are personal. A candidate has to
+pass its kind's check besides: a card number Luhn's and its groups, an address its parts', a phone number its length's. Candidates are then taken in the order of their starts:
+of two that overlap, the one with the better score stays, the longer of equal ones, and the first of equal lengths.
 The trees are turned into CASE expressions, so scoring stays in the projection that reads the text; nothing is shuffled.
 
 Defined results: null and empty texts have no spans; each row is judged by itself, so repeated rows give repeated results; a null
 doc_id stays null. Empty tables, or samples with too few base spans, add nothing to the base. Only doc_id and text are read by ``pii_report``;
-``redact`` keeps all other columns.
+``redact`` keeps all other columns. Time grows with a text's candidates, not with their pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .spans import CONTEXT, clear_of, digits, filled, keyed, matches, without_marks, written
+from .spans import BLOCK, CONTEXT, digits, filled, keyed, let, matches, without_marks, written
 
 # The base patterns. Possessive quantifiers and the look-behind keep matches as they are and time linear.
 BASE = {
@@ -34,20 +37,28 @@ BASE = {
 }
 #: What every match of a kind has.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]", "number": "[0-9]", "groups": "[0-9][\\x20-][0-9]", "digits": "[0-9]", "mail": r"@|[\[(](?:at|AT)[\])]"}
+DATE = r"^(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.]|^[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}(?![0-9])"
+#: How card numbers are written: as one, or in groups with the same separator.
+CARD = r"^(?:[0-9]{12,19}|[0-9]{4}([\x20./-]{1,2})[0-9]{4,6}\1[0-9]{4,6}(?:\1[0-9]{1,4}){0,2})$"
 LOOSE = {
     "number": r"\+?+[0-9](?:[\x20().,:/-]{0,2}+[0-9])++",
-    "groups": r"(?<![0-9])[0-9]{1,6}+(?:[\x20-][0-9]{2,6}+)++",
+    "groups": r"(?<![0-9])[0-9]{1,6}+(?:[\x20-][0-9]{2,6}+)++(?![0-9])",
     "digits": r"[0-9]++",
     "mail": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)*+",
 }
 #: What numbers that are no personal data look like: # stands for any digit.
 OTHERS = ("20##-0#-1#", "1#:2#:3#", "#.#######", "###,###,###", "19##-20##", "978-#-###-#####-#", "#.#.##.####", "#######", "1#/0#/20##", "########################", "#: ### ###", "10.####/##### (20##)", "v#.##.###", "## x ## x ##")
+#: Words before a phone number without a plus, and before other numbers of as many digits.
+CALLED = ("phone", "tel", "call", "mobile", "fax")
+COUNTED = ("order", "isbn", "invoice", "number", "id", "ref", "serial")
+#: What stands after an @ that is no address.
+HANDLES = ("setter", "property", "home", "noon", "work", "scale", "all")
 WORDS = ("version", "page", "chapter", "year", "in", "of", "the", "about", "total", "ratio", "room", "and")
 #: Documents that the sample may have: longer ones are left to the rest.
 SAMPLE_CHARS = 20_000
 SAMPLE_DOCS = 2_000
 PRECISION = 0.97
-TREES, DEPTH = 8, 3
+TREES, DEPTH, STEP = 12, 3, 0.3
 
 
 def _unary(f, first):
@@ -94,6 +105,7 @@ def _features(s: Column, kind: str) -> list[Column]:
         count("@"),
         count("[A-Za-z]"),
         F.when(luhn(digits(text)), 1).otherwise(0),
+        count(r"\.[A-Za-z]|\x20?[\[(](?:dot|DOT)[\])]"),
         F.lit(1 if kind == "mail" else 0),
         F.when(left == "", 2).when(left.rlike(r"\s$"), 1).otherwise(0),
         F.when(right == "", 2).when(right.rlike(r"^[\s.,;!?]"), 1).otherwise(0),
@@ -103,6 +115,7 @@ def _features(s: Column, kind: str) -> list[Column]:
         F.when(word.rlike(r"(phone|tel|call|fax|mobile)\W*$"), 1).otherwise(0),
         F.when(word.rlike(r"(card|visa|account|iban)\W*$"), 1).otherwise(0),
         F.when(word.rlike(r"(version|license|page|year|chapter)\W*$"), 1).otherwise(0),
+        F.when(word.rlike(r"(order|isbn|invoice|number|id|ref|serial)\W*$"), 1).otherwise(0),
     ]
 
 
@@ -136,32 +149,38 @@ def _with_candidates(based: DataFrame) -> DataFrame:
     return out.withColumn("__loose", F.concat(*parts))
 
 
-def _altered(kind: str, text: Column) -> list[Column]:
-    """A span's text as people write it too."""
+def _copies(kind: str, text: Column, pick) -> list[tuple[Column, tuple[str, ...], float]]:
+    """Of a base span: texts, words of which one stands before each, or none for the span's own context, and labels. pick draws one of some strings."""
+    number = digits(text)
     if kind == "email":
-        return [F.regexp_replace(F.replace(text, F.lit("@"), F.lit(at)), r"\.(?=[A-Za-z0-9-]+$)", dot) for at, dot in ((" [at] ", " [dot] "), ("(at)", "(dot)"), ("@", "."))]
+        spelt = [(F.regexp_replace(F.replace(text, F.lit("@"), F.lit(at)), r"\.(?=[A-Za-z0-9-]+$)", dot), (), 1.0) for at, dot in ((" [at] ", " [dot] "), ("(at)", "(dot)"))]
+        name = F.split_part(text, F.lit("@"), F.lit(1))
+        host = F.replace(F.split_part(text, F.lit("@"), F.lit(2)), F.lit("."), F.lit(""))  # as long as an address, but without a domain
+        return [(text, (), 1.0), *spelt, *((F.concat(name, F.lit(at), what), (), 0.0) for i, at in enumerate(("@", " (at) ", " [at] ")) for what in (pick(HANDLES, i), host))]
+    if kind == "ip":
+        return [(text, (), 1.0), (F.regexp_replace(text, "[0-9]+$", "19045"), (), 0.0), (F.concat(text, F.lit(".3803")), (), 0.0)]
     if kind == "card":
-        number = digits(text)
-        typo = F.concat(F.left(number, F.length(number) - 1), ((F.right(number, F.lit(1)).cast("int") + 1) % 10).cast("string"))
-        return [typo, *(F.regexp_replace(x, "([0-9]{4})(?=[0-9])", f"$1{sep}") for x in (number, typo) for sep in (" ", "-"))]
-    if kind == "phone":
-        return [F.replace(text, F.lit("+"), F.lit("")), F.regexp_replace(F.regexp_replace(text, "[()+]", ""), r"\x20+", "-"), F.regexp_replace(F.regexp_replace(text, "[()]", ""), r"[\x20-]+", ".")]
-    return []
+        wrong = F.concat(F.left(number, F.length(number) - 1), ((F.right(number, F.lit(1)).cast("int") + 1) % 10).cast("string"))
+        grouped = lambda x, sep: F.regexp_replace(x, "([0-9]{4})(?=[0-9])", f"$1{sep}")
+        return [(text, (), 1.0), (wrong, (), 0.0), *((grouped(x, sep), (), label) for x, label in ((number, 1.0), (wrong, 0.0)) for sep in (".", "/", "  ")), *((grouped(wrong, sep), (), 0.0) for sep in (" ", "-"))]
+    dashed, dotted = (F.regexp_replace(F.regexp_replace(text, "[()+]", ""), r"[\x20.-]+", sep) for sep in ("-", "."))
+    return [(text, (), 1.0), *((x, words, label) for x in (number, dashed, dotted) for words, label in ((CALLED, 1.0), (COUNTED, 0.0)))]
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
-    """x, label and held (a third of the rows, by hash): features of base spans and their altered copies (1), and of as many other numbers (0)."""
+    """x, label and held (a third of the rows, by hash): features of base spans, their copies of both labels, and as many other numbers (0)."""
     based = _with_base(docs)
     parts = []
     for kind in BASE:
         own = based.select(F.explode(f"__{kind}").alias("s")).select("s.text", "s.left", "s.right")
-        forms = F.array_distinct(F.array(F.col("text"), *_altered(kind, F.col("text"))))
-        told = own.select(F.explode(forms).alias("text"), "left", "right")
+        pick = lambda n, seed: F.pmod(F.xxhash64("text", "left", F.lit(seed)), F.lit(n)).cast("int")
+        one = lambda of, seed=0: F.get(F.array(*map(F.lit, of)), pick(len(of), 100 + seed))
+        forms = [F.struct(text.alias("text"), (F.concat(one(words, i), F.lit(" ")) if words else F.lit("")).alias("word"), F.lit(label).alias("label")) for i, (text, words, label) in enumerate(_copies(kind, F.col("text"), one))]
+        told = own.select("left", "right", F.explode(F.array_distinct(F.array(*forms))).alias("f")).select("f.text", F.right(F.concat("left", "f.word"), F.lit(CONTEXT)).alias("left"), "right", "f.label")
         s = F.struct("text", "left", "right")
         held = (F.pmod(F.xxhash64(F.lit(5), "text", "left"), F.lit(3)) == 0).alias("held")
-        parts.append(told.select(_array_of_features(s, "mail" if kind == "email" else "number").alias("x"), F.lit(1.0).alias("label"), held))
+        parts.append(told.select(_array_of_features(s, "mail" if kind == "email" else "number").alias("x"), "label", held))
         # in the same place something else, after a word of its own every other time
-        pick = lambda n, seed: F.pmod(F.xxhash64("text", "left", F.lit(seed)), F.lit(n)).cast("int")
         form = F.get(F.array(*map(F.lit, OTHERS)), pick(len(OTHERS), 1))
         for i in range(10):  # each # gets a digit in turn
             form = F.regexp_replace(form, "#([^#]*)$", F.concat(pick(10, 10 + i).cast("string"), F.lit("$1")))
@@ -219,7 +238,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Scorer | None:
     known = {(r["held"], r["label"]): r["n"] for r in rows.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
     if min(known.get((held, label), 0) for held in (True, False) for label in (0.0, 1.0)) < 5:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=16, seed=7).fit(rows.where("not held").select("features", "label"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=32, seed=7).fit(rows.where("not held").select("features", "label"))
     scorer = Scorer(model)
     # the sample is bounded, and so are its distinct scores
     scores = rows.where("held").select(scorer(F.col("x")).alias("s"), "label").groupBy("s").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("s")).collect()
@@ -232,38 +251,55 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Scorer | None:
 
 
 def _named(c: Column) -> Column:
-    """The kind of an added span, by its format."""
-    n = F.length(digits(c["text"]))
+    """The kind of a candidate by its format, or null where it fails that kind's check."""
+    text, n = c["text"], F.length(digits(c["text"]))
+    parts = F.split(text, r"\.")
     return (
         F.when(c["kind"] == "mail", "email")
-        .when(F.regexp_count(c["text"], F.lit(r"\.")) == 3, "ip")
-        .when(c["text"].rlike(r"^\+|[()]"), "phone")
-        .when(n.between(12, 19), "card")
-        .otherwise("phone")
+        .when(text.rlike(r"^[0-9]+(\.[0-9]+){3,}$") & ~text.rlike(r"^[0-9]{2,4}(\.[0-9]{2,5}){3,}$"), F.when((F.size(parts) == 4) & F.forall(parts, _small_part), "ip"))
+        .when(text.rlike(CARD) & luhn(digits(text)), "card")
+        .when(n.between(9, 15) & ~text.rlike(DATE), "phone")
     )
 
 
+def _swept(candidates: Column) -> Column:
+    """Of candidates struct<start, number, end, kind, score, ..> those that stay, by one pass in the order of their starts; results gather in blocks, so that time is in proportion to them."""
+    kind = "array<struct<start:int,number:int,end:int,kind:string,score:double>>"
+    none = F.array().cast(kind)
+
+    def step(acc: Column, c: Column) -> Column:
+        held = F.element_at(acc["held"], 1)
+        apart = (F.size(acc["held"]) == 0) | (held["end"] <= c["start"])
+        beats = F.struct(c["score"], c["end"] - c["start"]) > F.struct(held["score"], held["end"] - held["start"])
+        return F.struct(F.when(apart, F.concat(acc["out"], acc["held"])).otherwise(acc["out"]).alias("out"), F.when(apart | beats, F.array(c)).otherwise(acc["held"]).alias("held"))
+
+    def block(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(none.alias("out"), acc["held"].alias("held")), step)
+        return let(done, lambda d: F.struct(F.array_append(acc["out"], d["out"]).alias("out"), d["held"].alias("held")))
+
+    def cut(order: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(order) / F.lit(BLOCK)).cast("int")), lambda i: F.slice(order, i * BLOCK + 1, F.lit(BLOCK)))
+        zero = F.struct(F.array().cast(f"array<{kind}>").alias("out"), none.alias("held"))
+        return F.aggregate(blocks, zero, block, lambda acc: F.concat(F.flatten(acc["out"]), acc["held"]))
+
+    return let(F.array_sort(candidates), cut)
+
+
 def with_spans(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """docs (with text) and ``__base`` and ``__all``: arrays of struct<start, number, end, kind>."""
     based = _with_base(docs)
     if scorer is None or scorer.threshold == float("inf"):
         return based.withColumn("__all", F.col("__base"))
-    scored = F.transform("__loose", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), c["kind"].alias("kind"), scorer(c["x"]).alias("score")))
-    found = _with_candidates(based).withColumn("__scored", F.filter(scored, lambda c: c["score"] >= scorer.threshold))
-    order = list(BASE)
-
-    def span(c):
-        kind = _named(c)
-        number = F.element_at(F.create_map(*(F.lit(v) for pair in zip(order, range(len(order)), strict=True) for v in pair)), kind)
-        return F.struct(c["start"].alias("start"), number.alias("number"), c["end"].alias("end"), kind.alias("kind"))
-
-    def better(o, c):
-        """Whether o overlaps c and goes before it."""
-        rank = lambda s: F.struct(s["score"], s["end"] - s["start"], -s["start"], s["kind"])
-        return (o["start"] < c["end"]) & (c["start"] < o["end"]) & (rank(o) > rank(c))
-
-    best = F.filter("__scored", lambda c: ~F.exists("__scored", lambda o: better(o, c)) & clear_of(c, F.col("__base")))
-    return found.withColumn("__new", best).withColumn("__all", F.array_distinct(F.concat("__base", F.transform("__new", span))))
+    number = F.create_map(*(F.lit(v) for i, kind in enumerate(BASE) for v in (kind, i)))
+
+    def judged(c):
+        named = lambda kind: F.struct(c["start"].alias("start"), F.element_at(number, kind).alias("number"), c["end"].alias("end"), kind.alias("kind"), scorer(c["x"]).alias("score"))
+        return let(_named(c), named)
+
+    found = _with_candidates(based).withColumn("__scored", F.filter(F.transform("__loose", judged), lambda c: c["kind"].isNotNull() & (c["score"] >= scorer.threshold)))
+    # candidates come from what base spans leave over, so they overlap none of these
+    new = F.transform(_swept(F.col("__scored")), lambda c: F.struct(c["start"].alias("start"), c["number"].alias("number"), c["end"].alias("end"), c["kind"].alias("kind")))
+    return found.withColumn("__all", F.concat("__base", new))
 
 
 def pii_report(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
