@@ -84,3 +84,26 @@ def first_rows(df: DataFrame, by: list, k: int) -> DataFrame:
 
 def ranked_within(df: DataFrame, key: str, by: list, k: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("place") <= k)
+
+
+# Fixed values of requests.
+MODES = ("personalized", "baseline")
+ACTIONS = ("confirmed_known", "useful", "irrelevant")
+
+
+def request_error(limit: Column, source: Column, mode: Column, sources: tuple[str, ...] = SOURCES) -> Column:
+    """Why a request for recommendations, its values as text, is not answered: invalid_limit, invalid_source, invalid_mode, or null. What isn't given is valid."""
+    number = F.coalesce(F.trim(limit).try_cast("int"), F.lit(-1))
+    return F.when(limit.isNotNull() & ~number.between(1, 100), "invalid_limit").when(~source.isin(*sources), "invalid_source").when(~mode.isin(*MODES), "invalid_mode")
+
+
+def feedback_error(knowledge_id: Column, action: Column) -> Column:
+    """invalid_action unless an id of 1 to 256 characters comes with one of ACTIONS; else null."""
+    fine = F.length(knowledge_id).between(1, 256) & action.isin(*ACTIONS)
+    return F.when(~F.coalesce(fine, F.lit(False)), "invalid_action")
+
+
+def knowledge_parts(knowledge_id: Column) -> Column:
+    """struct<kind, value> of an id: topic or keyword and what follows the prefix; nulls for any other id."""
+    of = lambda prefix: F.when(knowledge_id.startswith(prefix), F.substring(knowledge_id, F.lit(len(prefix) + 1), F.length(knowledge_id)))
+    return F.struct(F.when(knowledge_id.startswith("topic:"), "topic").when(knowledge_id.startswith("kw:"), "keyword").alias("kind"), F.coalesce(of("topic:"), of("kw:")).alias("value"))

@@ -13,6 +13,12 @@ def segments(texts: DataFrame, key: str, size: int = 800) -> DataFrame:
     return plain.select(key, F.posexplode(F.transform(starts, lambda i: F.substring(F.col("text"), i * size + 1, F.lit(size)))).alias("segment_id", "text"))
 
 
+def in_order(segments: DataFrame, key: str, place: str = "segment_id") -> DataFrame:
+    """(key, segments): each transcript's segments as structs in their order. Transcripts are bounded (``contract.TRANSCRIPT``), so lists are too."""
+    rest = [c for c in segments.columns if c not in (key, place)]
+    return segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(place, *rest))).alias("segments"))
+
+
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Upsert: the last row of each key."""
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")

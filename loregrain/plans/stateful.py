@@ -1,4 +1,4 @@
-"""Queries of streams that keep state by key, each beside its SQL twin."""
+"""Queries of data sources and of streams that keep state by key, each beside its SQL twin."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import tables
+from ..sources import scan, tables
 from ..streaming import events as streams
 from ..streaming import state
 
@@ -77,6 +77,32 @@ def stream_rate_limit(spark, sf):
     return rows.groupBy("user_id", F.unix_seconds("start").alias("start")).agg(F.max("n").alias("n"))
 
 
+@query("""SELECT 'site' || site AS site, page, place, item FROM (SELECT *, row_number() OVER (ORDER BY site, page, item) - 1 AS place
+FROM (SELECT event_id % 4 AS site, event_id // 400 + 1 AS page, event_id AS item FROM events) WHERE page <= 25 AND NOT (site = 2 AND page > 7) AND NOT (site = 3 AND page >= 5)) WHERE place < 8000""")
+def qa_scan(spark, sf):
+    """Pages of a hundred items, landed and scanned: site 2 says at page 7 that it has no more, site 3 can't be read from page 5 on and keeps what came before."""
+    i = F.col("event_id")
+    rows = tables.table(spark, sf, "events").select(F.concat(F.lit("site"), (i % 4).cast("string")).alias("site"), (F.floor(i / 400) + 1).alias("page"), i)
+    pages = rows.groupBy("site", "page").agg(F.array_sort(F.collect_list("event_id")).alias("items"))
+    broken = (F.col("site") == "site3") & (F.col("page") == 5)
+    folder = _folder(spark, "pages")
+    told = pages.withColumn("has_more", ~((F.col("site") == "site2") & (F.col("page") == 7))).withColumn("items", F.when(~broken, F.col("items")))
+    told.write.partitionBy("site", "page").json(folder)
+    scan.register(spark)
+    items, _ = scan.collected_items(spark.read.format("landed_pages").options(path=folder, sites="site0,site1,site2,site3").load(), 8000)
+    return items.select("site", F.col("page").cast("long").alias("page"), F.col("place").cast("long").alias("place"), F.col("item").cast("long").alias("item"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 50")
+def stream_tail(spark, sf):
+    """The first poll of a tail that starts after a cursor."""
+    scan.register(spark)
+    rows = spark.readStream.format("id_tail").options(path=f"{sf}/events.parquet", key="event_id", limit=50, start=100).load().select("event_id", "user_id", "event_type")
+    folder = _folder(spark, "tail")
+    state.to_folder(rows, f"{folder}/out", f"{folder}/checkpoint", "append")
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

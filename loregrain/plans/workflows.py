@@ -364,6 +364,34 @@ def similar_docs_bounded(spark, sf):
     return keywords.similar(keywords.tfidf(tables.documents(spark, sf)), tables.staged(_bounded(spark, sf), "bounded-groups"))
 
 
+@query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CASE event_id % 11 WHEN 0 THEN 'many' WHEN 1 THEN ' 7 ' ELSE CAST(event_id % 130 AS VARCHAR) END END AS lim,
+CASE event_id % 4 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'stackexchange' WHEN 2 THEN 'reddit' END AS source, CASE event_id % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'best' END AS mode FROM events)
+SELECT event_id, CASE WHEN lim IS NOT NULL AND NOT coalesce(TRY_CAST(trim(lim) AS INT), -1) BETWEEN 1 AND 100 THEN 'invalid_limit' WHEN source = 'reddit' THEN 'invalid_source' WHEN mode = 'best' THEN 'invalid_mode' END AS error FROM r""")
+def request_errors(spark, sf):
+    i = F.col("event_id")
+    limit = F.when(i % 5 > 0, F.when(i % 11 == 0, "many").when(i % 11 == 1, " 7 ").otherwise((i % 130).cast("string")))
+    source = F.when(i % 4 == 0, "arxiv").when(i % 4 == 1, "stackexchange").when(i % 4 == 2, "reddit")
+    mode = F.when(i % 3 == 0, "baseline").when(i % 3 == 1, "best")
+    return _events(spark, sf).select(i, contract.request_error(limit, source, mode).alias("error"))
+
+
+@query("""WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'topic:' || (event_id % 20) WHEN 1 THEN 'kw:' || event_type WHEN 2 THEN repeat('x', (event_id % 300)::BIGINT) END AS k,
+CASE event_id % 3 WHEN 0 THEN 'useful' WHEN 1 THEN 'confirmed_known' ELSE event_type END AS action FROM events)
+SELECT event_id, CASE WHEN k LIKE 'topic:%' THEN 'topic' WHEN k LIKE 'kw:%' THEN 'keyword' END AS kind, CASE WHEN k LIKE 'topic:%' THEN substr(k, 7) WHEN k LIKE 'kw:%' THEN substr(k, 4) END AS value,
+CASE WHEN NOT coalesce(length(k) BETWEEN 1 AND 256 AND action IN ('useful', 'irrelevant', 'confirmed_known'), false) THEN 'invalid_action' END AS error FROM r""")
+def feedback_ids(spark, sf):
+    i = F.col("event_id")
+    k = F.when(i % 4 == 0, F.concat(F.lit("topic:"), (i % 20).cast("string"))).when(i % 4 == 1, F.concat(F.lit("kw:"), "event_type")).when(i % 4 == 2, F.repeat(F.lit("x"), (i % 300).cast("int")))
+    action = F.when(i % 3 == 0, "useful").when(i % 3 == 1, "confirmed_known").otherwise(F.col("event_type"))
+    return _events(spark, sf).select(i, contract.knowledge_parts(k).alias("p"), contract.feedback_error(k, action).alias("error")).select("event_id", "p.*", "error")
+
+
+@query(f"WITH {SEGS} SELECT grp AS conv_id, count(*) AS n_segments, sha256(string_agg(body, '|' ORDER BY doc_id)) AS digest FROM sd GROUP BY grp")
+def segments_in_order(spark, sf):
+    rows = feeds.in_order(_segments(spark, sf).withColumnRenamed("grp", "conv_id"), "conv_id", "doc_id")
+    return rows.select("conv_id", F.size("segments").cast("long").alias("n_segments"), F.sha2(F.array_join(F.transform("segments", lambda s: s["body"]), "|"), 256).alias("digest"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
