@@ -9,8 +9,9 @@ A contiguous window of 5 agreeing words is a seed too; it finds overlaps with su
 words have seeds of three words: with up to ``percent`` agreeing, one of these is always hit. They have to be in the document as a whole.
 
 Seeds of items and of documents meet in a join on their hashes. First, documents leave out the seeds that a bitmap of the items' hashes, of ``BITS`` bits
-whatever the benchmark's size, is certain not to have; few rows remain. Hits are offsets of an item in a document, each taken once; the items' words
-join them, and the documents that have any are verified in a second reading.
+whatever the benchmark's size, is certain not to have; few rows remain. Places in a row with the same seed, as in texts that repeat one word, are one run on
+either side, and two runs that meet are one range of offsets, so that such texts cost no more than others. Every item's words join the ranges of a document once; the
+documents that have any are verified in a second reading, ``ITEMS_AT_ONCE`` items at most in a row, and of equal stretches of a document's words only one is looked at.
 
 Words are runs of letters and digits, lower-cased. Defined results: null and empty texts, and items of fewer than 5 words, match nothing.
 Rows with equal (doc_id, item_id) come out once, with the longest overlap.
@@ -23,7 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, rows_of, staged
@@ -36,6 +37,11 @@ SHORT = 13
 SPAN = 10
 #: Of the bitmap, a power of two: 4 MB are broadcast.
 BITS = 1 << 25
+#: About so many items of a document are verified in one row; a document that hits more has several rows.
+ITEMS_AT_ONCE = 256
+#: An odd number, and its inverse modulo 2**64, for rolling hashes of stretches of words.
+ROLL = 0x9E3779B97F4A7C15
+ROLL_BACK = pow(ROLL, -1, 1 << 64)
 WORD = re.compile(rb"(?:[0-9a-z]|[\x80-\xff])+")
 
 
@@ -76,6 +82,12 @@ def best_stretch(same: np.ndarray, least: int, percent: int) -> int:
     return best
 
 
+def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last places of the runs of equal values."""
+    cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
+    return np.r_[0, cuts][: len(h)], np.r_[cuts - 1, len(h) - 1][: len(h)]
+
+
 def _masks(n: int) -> tuple[str, ...]:
     return SHORT_MASKS if 5 <= n < SHORT else MASKS
 
@@ -98,7 +110,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """h, item, place: the seeds of every item."""
+    """h, item, place, place_last: the seeds of every item, runs of one seed as one."""
 
     def run(batches):
         for rows in rows_of(batches, "item", "words"):
@@ -107,9 +119,11 @@ def _item_seeds(items: DataFrame) -> DataFrame:
                 for mask in _masks(len(w)):
                     h = seeds(w, mask)
                     if len(h):
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item)), pa.array(np.arange(len(h), dtype=np.int32))], ["h", "item", "place"])
+                        first, last = runs(h)
+                        columns = h[first].view(np.int64), np.full(len(first), item), first.astype(np.int32), last.astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "item", "place", "place_last"])
 
-    return items.select("item", "words").distinct().mapInArrow(run, "h long, item long, place int")
+    return items.select("item", "words").distinct().mapInArrow(run, "h long, item long, place int, place_last int")
 
 
 def _bitmap(item_seeds: DataFrame) -> np.ndarray:
@@ -123,7 +137,7 @@ def _bitmap(item_seeds: DataFrame) -> np.ndarray:
 
 
 def _document_seeds(rows: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
-    """row, h, p: the seeds of rows (row, text) that the bitmap may have, each with the place of its first word."""
+    """row, h, p, p_last: the seeds of rows (row, text) that the bitmap may have, with the places of the first words of a run's first and last."""
     shipped = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -134,25 +148,55 @@ def _document_seeds(rows: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -
                 words = known.of(words_of(text))
                 for mask in masks:
                     h = seeds(words, mask)
+                    if not len(h):
+                        continue
+                    first, last = runs(h)
+                    h = h[first]
                     bit = _bits(h)
                     at = np.flatnonzero((maybe[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
                     if len(at):
-                        out.append((np.full(len(at), row), h[at].view(np.int64), at.astype(np.int32)))
+                        out.append((np.full(len(at), row), h[at].view(np.int64), first[at].astype(np.int32), last[at].astype(np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["row", "h", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["row", "h", "p", "p_last"])
 
-    return rows.mapInArrow(run, "row long, h long, p int")
+    return rows.mapInArrow(run, "row long, h long, p int, p_last int")
 
 
 def _overlap(item: np.ndarray, words: np.ndarray, offset: int, min_words: int, percent: int) -> int:
     """The words of the verified overlap of an item that is laid over a document at an offset; 0 if there is none."""
-    low, high = max(0, -offset), min(len(item), len(words) - offset)
+    low = max(0, -offset)
+    high = max(low, min(len(item), len(words) - offset))
     same = item[low:high] == words[low + offset : high + offset]
     if len(item) < min_words:
         return len(item) * bool(len(same) == len(item) and 100 * int(same.sum()) >= percent * len(item))
     return best_stretch(same, min_words, percent)
 
 
+def _offsets(ranges: list[dict], item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The offsets of the ranges at which item and words have a place in common, each once."""
+    out, done = [], -len(item)
+    for low, high in sorted((r["low"], r["high"]) for r in ranges):
+        if high > done:
+            out.append(np.arange(max(low, done + 1), min(high, len(words) - 1) + 1))
+            done = high
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def _longest(ranges: list[dict], item: np.ndarray, words: np.ndarray, min_words: int, percent: int) -> int:
+    """The longest verified overlap at any offset of the ranges."""
+    at = _offsets(ranges, item, words)
+    inside = (at >= 0) & (at <= len(words) - len(item))
+    if inside.sum() > 2:
+        # the whole item lies on the words there: equal stretches of them have equal overlaps
+        some = at[inside]
+        power = np.cumprod(np.r_[np.uint64(1), np.full(len(words), np.uint64(ROLL))])
+        back = np.cumprod(np.r_[np.uint64(1), np.full(len(words), np.uint64(ROLL_BACK))])
+        rolled = np.r_[np.uint64(0), np.cumsum(words * power[: len(words)])]
+        stretch = (rolled[some + len(item)] - rolled[some]) * back[some]
+        at = np.r_[at[~inside], some[np.unique(stretch, return_index=True)[1]]]
+    return max((_overlap(item, words, int(offset), min_words, percent) for offset in at), default=0)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_words): documents that hold a part of an item, and the longest part's length in words."""
     items = staged(_items(benchmark), "benchmark-items")
@@ -160,20 +204,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, per
     short = not items.where(F.size("words").between(5, SHORT - 1)).isEmpty()
     # rows that share a key are verified each by itself
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("row"))
-    hits = _document_seeds(rows.select("row", "text"), _bitmap(found), MASKS + SHORT_MASKS * short).join(found, "h").select("row", "item", (F.col("p") - F.col("place")).alias("offset")).distinct()
-    hits = hits.join(items, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "offset", "words")).alias("hits"))
+    met = _document_seeds(rows.select("row", "text"), _bitmap(found), MASKS + SHORT_MASKS * short).join(found, "h")
+    hits = met.select("row", "item", (F.col("p") - F.col("place_last")).alias("low"), (F.col("p_last") - F.col("place")).alias("high")).distinct()
+    ranges = hits.groupBy("row", "item").agg(F.collect_list(F.struct("low", "high")).alias("ranges")).join(items, "item")
+    part = F.pmod(F.xxhash64("item"), F.ceil(F.count("*").over(Window.partitionBy("row")) / ITEMS_AT_ONCE))
+    hits = ranges.withColumn("part", part).groupBy("row", "part").agg(F.collect_list(F.struct("item_id", "ranges", "words")).alias("hits"))
 
     def run(batches):
         known = WordHashes()
         for some in rows_of(batches, "doc_id", "text", "hits"):
             out = []
             for doc_id, text, own in some:
-                words, best = known.of(words_of(text)), {}
+                words = known.of(words_of(text))
                 for hit in own:
-                    n = _overlap(np.array(hit["words"], np.int64).view(np.uint64), words, hit["offset"], min_words, percent)
+                    n = _longest(hit["ranges"], np.array(hit["words"], np.int64).view(np.uint64), words, min_words, percent)
                     if n:
-                        best[hit["item_id"]] = max(n, best.get(hit["item_id"], 0))
-                out += [(doc_id, i, n) for i, n in best.items()]
+                        out.append((doc_id, hit["item_id"], n))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "item_id", "n_words"])
 
