@@ -7,10 +7,13 @@ cluster that loses all its vectors is gone. Each round is written to the shared
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
+from .records import bounded_groups
 
 
 def whole_weight(weight: Column) -> Column:
@@ -61,15 +64,48 @@ def clustered(weights: DataFrame, docs: DataFrame, most: int, rounds: int) -> Da
     return member.withColumnRenamed("c", "cluster")
 
 
-def clusters_sql(w: str, docs: str, most: int, rounds: int) -> str:
-    """The same as CTEs over the named w(grp, doc_id, term, w) and docs(grp, doc_id); the last one is ``member``."""
-    out = f"""dg AS MATERIALIZED (SELECT grp, doc_id, sum(('0x' || substr(h, 1, 8))::BIGINT) AS s1, sum(('0x' || substr(h, 9, 8))::BIGINT) AS s2, count(*) AS n FROM (SELECT *, md5(term || '=' || w::BIGINT) AS h FROM {w}) GROUP BY grp, doc_id),
-one AS (SELECT * FROM dg QUALIFY row_number() OVER (PARTITION BY grp, s1, s2, n ORDER BY md5(doc_id::VARCHAR), doc_id) = 1),
-a0 AS MATERIALIZED (SELECT grp, doc_id, row_number() OVER (PARTITION BY grp ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS c FROM one QUALIFY c < {most})"""
+def split_groups(weights: DataFrame, docs: DataFrame, most: int = 300, fan: int = 8, depth: int = 4, rounds: int = 5) -> DataFrame:
+    """(doc_id, grp) for docs (grp, doc_id): groups of more than ``most`` documents are clustered again by weights (grp, doc_id, term, w), all at once, until they fit.
+
+    A level splits each large group into up to ``fan`` clusters, named grp/cluster. Work grows with the documents that don't fit yet, not with the square of a group. What is too
+    large after ``depth`` levels, such as a group of copies, is dealt by hash and sliced, as grp/part/slice. Names are the same however the data is dealt.
+    """
+    one, left = docs.select("grp", "doc_id"), None
+    fits = []
+    for level in range(depth + 1):
+        sizes = one.groupBy("grp").agg((F.count("*") > most).alias("__large"))
+        count = Observation()
+        sized = staged(one.join(sizes, "grp").observe(count, F.count_if("__large").alias("n")), "split-groups")
+        fits.append(sized.where("not __large").select("doc_id", "grp"))
+        left = sized.where("__large").select("grp", "doc_id")
+        if level == depth or not count.get["n"]:
+            break
+        own = weights.select("doc_id", "term", "w").join(left, "doc_id")
+        one = clustered(own, left, fan, rounds).select(F.concat_ws("/", "grp", F.col("cluster").cast("string")).alias("grp"), "doc_id")
+    sliced = bounded_groups(left, "grp", "doc_id", most).select("doc_id", F.concat_ws("/", "grp", F.col("part").cast("string"), F.col("slice").cast("string")).alias("grp"))
+    return functools.reduce(DataFrame.unionByName, [*fits, sliced])
+
+
+def clusters_sql(w: str, docs: str, most: int, rounds: int, tag: str = "") -> str:
+    """The same as CTEs over the named w(grp, doc_id, term, w) and docs(grp, doc_id); the last one is ``member``. tag: ends all their names."""
+    out = f"""dg{tag} AS MATERIALIZED (SELECT grp, doc_id, sum(('0x' || substr(h, 1, 8))::BIGINT) AS s1, sum(('0x' || substr(h, 9, 8))::BIGINT) AS s2, count(*) AS n FROM (SELECT *, md5(term || '=' || w::BIGINT) AS h FROM {w}) GROUP BY grp, doc_id),
+one{tag} AS (SELECT * FROM dg{tag} QUALIFY row_number() OVER (PARTITION BY grp, s1, s2, n ORDER BY md5(doc_id::VARCHAR), doc_id) = 1),
+a{tag}0 AS MATERIALIZED (SELECT grp, doc_id, row_number() OVER (PARTITION BY grp ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS c FROM one{tag} QUALIFY c < {most})"""
     for i in range(rounds):
-        out += f""", n{i} AS MATERIALIZED (SELECT grp, c, count(*) AS n FROM a{i} GROUP BY grp, c),
-m{i} AS MATERIALIZED (SELECT grp, term, c, floor((2 * s + n) / (2 * n)) AS m FROM (SELECT grp, term, c, sum(w) AS s FROM {w} JOIN a{i} USING (grp, doc_id) GROUP BY grp, term, c) JOIN n{i} USING (grp, c)),
-q{i} AS MATERIALIZED (SELECT grp, c, coalesce(q, 0) AS q FROM n{i} LEFT JOIN (SELECT grp, c, sum(m * m) AS q FROM m{i} GROUP BY grp, c) USING (grp, c)),
-p{i} AS MATERIALIZED (SELECT grp, doc_id, c, sum(w * m) AS dot FROM {w} JOIN m{i} USING (grp, term) GROUP BY grp, doc_id, c),
-a{i + 1} AS MATERIALIZED (SELECT grp, doc_id, c FROM {docs} JOIN q{i} USING (grp) LEFT JOIN p{i} USING (grp, doc_id, c) QUALIFY row_number() OVER (PARTITION BY grp, doc_id ORDER BY q - 2 * coalesce(dot, 0), c) = 1)"""
-    return out + f", member AS (SELECT grp, doc_id, coalesce(c, 0)::INT AS cluster FROM {docs} LEFT JOIN a{rounds} USING (grp, doc_id))"
+        out += f""", n{tag}{i} AS MATERIALIZED (SELECT grp, c, count(*) AS n FROM a{tag}{i} GROUP BY grp, c),
+m{tag}{i} AS MATERIALIZED (SELECT grp, term, c, floor((2 * s + n) / (2 * n)) AS m FROM (SELECT grp, term, c, sum(w) AS s FROM {w} JOIN a{tag}{i} USING (grp, doc_id) GROUP BY grp, term, c) JOIN n{tag}{i} USING (grp, c)),
+q{tag}{i} AS MATERIALIZED (SELECT grp, c, coalesce(q, 0) AS q FROM n{tag}{i} LEFT JOIN (SELECT grp, c, sum(m * m) AS q FROM m{tag}{i} GROUP BY grp, c) USING (grp, c)),
+p{tag}{i} AS MATERIALIZED (SELECT grp, doc_id, c, sum(w * m) AS dot FROM {w} JOIN m{tag}{i} USING (grp, term) GROUP BY grp, doc_id, c),
+a{tag}{i + 1} AS MATERIALIZED (SELECT grp, doc_id, c FROM {docs} JOIN q{tag}{i} USING (grp) LEFT JOIN p{tag}{i} USING (grp, doc_id, c) QUALIFY row_number() OVER (PARTITION BY grp, doc_id ORDER BY q - 2 * coalesce(dot, 0), c) = 1)"""
+    return out + f", member{tag} AS (SELECT grp, doc_id, coalesce(c, 0)::INT AS cluster FROM {docs} LEFT JOIN a{tag}{rounds} USING (grp, doc_id))"
+
+
+def split_sql(w: str, docs: str, most: int, fan: int, depth: int, rounds: int) -> str:
+    """The same as CTEs over the named w(doc_id, term, w) and docs(grp, doc_id); the last one is ``split``."""
+    out = f"g0 AS MATERIALIZED (SELECT grp, doc_id, count(*) OVER (PARTITION BY grp) > {most} AS large FROM {docs})"
+    for i in range(depth):
+        out += f""", l{i} AS MATERIALIZED (SELECT grp, doc_id FROM g{i} WHERE large), w{i} AS MATERIALIZED (SELECT grp, doc_id, term, w FROM {w} JOIN l{i} USING (doc_id)),
+{clusters_sql(f"w{i}", f"l{i}", fan, rounds, f"_{i}_")}, g{i + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) > {most} AS large FROM (SELECT grp || '/' || cluster AS grp, doc_id FROM member_{i}_))"""
+    fits = " UNION ALL ".join(f"SELECT doc_id, grp FROM g{i} WHERE NOT large" for i in range(depth + 1))
+    return out + f""", dealt AS (SELECT grp, doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % ((count(*) OVER (PARTITION BY grp) + {most - 1}) // {most}) AS part FROM g{depth} WHERE large),
+split AS ({fits} UNION ALL SELECT doc_id, grp || '/' || part || '/' || ((row_number() OVER (PARTITION BY grp, part ORDER BY doc_id) - 1) // {most}) AS grp FROM dealt)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contract, feeds, keywords, knowledge, profiles, records
 from ..sources import landed, tables, transcripts
-from ..operators.clusters import clusters_sql
+from ..operators.clusters import clusters_sql, split_groups, split_sql, whole_weight
 from ..streaming import events as streams
 from . import catalogue
 from .oracle import DOCS, PROFILE, STOP, TF, cosine
@@ -364,6 +364,29 @@ def similar_docs_bounded(spark, sf):
     return keywords.similar(keywords.tfidf(tables.documents(spark, sf)), tables.staged(_bounded(spark, sf), "bounded-groups"))
 
 
+SPLIT = f"""{TF}, kw AS MATERIALIZED (SELECT doc_id, term, round(weight * 1000) AS w FROM w WHERE weight > 0), kd AS (SELECT 'all' AS grp, doc_id FROM d), {split_sql("kw", "kd", 300, 4, 3, 4)}"""
+
+
+def _split(docs, weights):
+    whole = weights.where("weight > 0").select("doc_id", "term", whole_weight(F.col("weight")).alias("w"))
+    return split_groups(whole, docs.select(F.lit("all").alias("grp"), "doc_id"), 300, fan=4, depth=3, rounds=4)
+
+
+@query(f"{SPLIT} SELECT doc_id, grp FROM split")
+def kmeans_bounded_groups(spark, sf):
+    """All documents, clustered again and again until no group has more than 300."""
+    docs = tables.documents(spark, sf)
+    return _split(docs, tables.staged(keywords.tfidf(docs), "weights"))
+
+
+@query(f"{SPLIT}, {cosine('SELECT doc_id, grp FROM split', 5)} SELECT doc_id, other_id, score, rank FROM near")
+def similar_docs_split(spark, sf):
+    """Neighbours within groups of at most 300 documents that are alike, whatever their source and language."""
+    docs = tables.documents(spark, sf)
+    weights = tables.staged(keywords.tfidf(docs), "weights")
+    return keywords.similar(weights, tables.staged(_split(docs, weights), "split-groups"))
+
+
 @query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CASE event_id % 11 WHEN 0 THEN 'many' WHEN 1 THEN ' 7 ' ELSE CAST(event_id % 130 AS VARCHAR) END END AS lim,
 CASE event_id % 4 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'stackexchange' WHEN 2 THEN 'reddit' END AS source, CASE event_id % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'best' END AS mode FROM events)
 SELECT event_id, CASE WHEN lim IS NOT NULL AND NOT coalesce(TRY_CAST(trim(lim) AS INT), -1) BETWEEN 1 AND 100 THEN 'invalid_limit' WHEN source = 'reddit' THEN 'invalid_source' WHEN mode = 'best' THEN 'invalid_mode' END AS error FROM r""")

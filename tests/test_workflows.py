@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loregrain.operators import contract, evaluate, feeds, ingest, keywords, profiles, records
+from loregrain.operators import clusters, contract, evaluate, feeds, ingest, keywords, profiles, records
 from loregrain.sources import landed, transcripts
 
 
@@ -153,3 +153,20 @@ def test_score_batch_replaces_itself_and_records_failures(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "batches")), "batch_id", "status", "input_count", "valid_count", "failed_count") == [("b1", "success", 2, 1, 1), ("b2", "failed", 2, 0, 2)]
     profiles.score_batch(scores.limit(1), "b2", str(tmp_path))
     assert ("b2", "success", 1) in rows(spark.read.parquet(str(tmp_path / "batches")), "batch_id", "status", "input_count")
+
+
+def test_split_groups_are_bounded_and_alike(spark):
+    # three subjects in one group, a group of copies only, one without terms, one that fits
+    told = [("big", i, f"s{i % 3}w{j}", float(1 + (i // 3 + j) % 5)) for i in range(60) for j in range(4)]
+    copies = [("copies", 100 + i, "same", 7.0) for i in range(25)]
+    docs = [("big", i) for i in range(60)] + [("copies", 100 + i) for i in range(25)] + [("bare", 200 + i) for i in range(12)] + [("small", 300 + i) for i in range(5)]
+    weights = spark.createDataFrame(told + copies, "grp string, doc_id long, term string, w double")
+    frame = spark.createDataFrame(docs, "grp string, doc_id long")
+    got = {r["doc_id"]: r["grp"] for r in clusters.split_groups(weights, frame, most=20, fan=4, depth=2, rounds=4).collect()}
+    assert len(got) == len(docs) and max(Counter(got.values()).values()) <= 20
+    assert all(got[d].split("/")[0] == g for g, d in docs) and {got[d] for g, d in docs if g == "small"} == {"small"}
+    assert all(len({d % 3 for d in range(60) if got[d] == g}) == 1 for g in {got[d] for d in range(60)})
+    again = clusters.split_groups(weights.repartition(7, "term"), frame.repartition(5), most=20, fan=4, depth=2, rounds=4)
+    assert {r["doc_id"]: r["grp"] for r in again.collect()} == got
+    none = clusters.split_groups(weights.where("false"), frame.where("false"), most=20)
+    assert none.count() == 0 and none.columns == ["doc_id", "grp"]
