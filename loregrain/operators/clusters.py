@@ -21,6 +21,16 @@ def whole_weight(weight: Column) -> Column:
     return F.round(weight * 1000, 0)
 
 
+def unit_weights(weights: DataFrame) -> DataFrame:
+    """(doc_id, term, w): the vectors of weights (doc_id, term, weight) at one length of a million, in whole numbers."""
+    whole = weights.select("doc_id", "term", whole_weight(F.col("weight")).alias("w")).where("w > 0")
+    long = whole.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q"))
+    return whole.join(long, "doc_id").select("doc_id", "term", F.floor(1_000_000 * F.col("w") / F.col("q") + 0.5).cast("double").alias("w"))
+
+
+UNIT_SQL = """SELECT doc_id, term, floor(1000000 * w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) + 0.5) AS w FROM (SELECT doc_id, term, round(weight * 1000) AS w FROM w) WHERE w > 0"""
+
+
 def vector_digest(weights: DataFrame) -> DataFrame:
     """(grp, doc_id, s1, s2, n): sums over the terms of a vector that differ for different vectors, but for chance; nothing is gathered."""
     told = F.md5(F.concat_ws("=", "term", F.col("w").cast("long").cast("string")))
@@ -28,22 +38,23 @@ def vector_digest(weights: DataFrame) -> DataFrame:
     return weights.groupBy("grp", "doc_id").agg(part(1).alias("s1"), part(9).alias("s2"), F.count("*").alias("n"))
 
 
-def first_centres(weights: DataFrame, most: int) -> DataFrame:
-    """(grp, doc_id, c): up to ``most`` different vectors of each group, numbered from 0."""
-    ids = vector_digest(weights).withColumn("h", F.md5(F.col("doc_id").cast("string")))
+def first_centres(weights: DataFrame, most: int, by_group: bool = False) -> DataFrame:
+    """(grp, doc_id, c): up to ``most`` different vectors of each group, numbered from 0. by_group: groups of the same documents choose others."""
+    told = F.col("doc_id").cast("string")
+    ids = vector_digest(weights).withColumn("h", F.md5(F.concat_ws(":", "grp", told) if by_group else told))
     one = ids.groupBy("grp", "s1", "s2", "n").agg(F.min(F.struct("h", "doc_id")).alias("r")).select("grp", "r.*")
     place = F.row_number().over(Window.partitionBy("grp").orderBy("h", "doc_id"))
     return one.withColumn("c", place - 1).where(F.col("c") < most).select("grp", "doc_id", "c")
 
 
-def clustered(weights: DataFrame, docs: DataFrame, most: int, rounds: int) -> DataFrame:
+def clustered(weights: DataFrame, docs: DataFrame, most: int, rounds: int, by_group: bool = False) -> DataFrame:
     """(grp, doc_id, cluster) for docs (grp, doc_id) by weights (grp, doc_id, term, w): up to ``most`` clusters a group, one for each different vector at most.
 
     Documents without weights go to the shortest centre; a group without any has one cluster, 0. Ends after ``rounds``, or when nothing changes.
     """
     weights = staged(weights.select("grp", "doc_id", "term", "w"), "cluster-weights")
     each, none = range(most), F.array_repeat(F.lit(0.0), most)
-    member = staged(first_centres(weights, most), "cluster-centres")
+    member = staged(first_centres(weights, most, by_group), "cluster-centres")
     for _ in range(rounds):
         # sums and sizes by cluster, then centres, as one row for each term of a group and one for each group
         n = member.groupBy("grp").agg(F.array(*(F.count_if(F.col("c") == i) for i in each)).alias("n"))
@@ -65,9 +76,9 @@ def clustered(weights: DataFrame, docs: DataFrame, most: int, rounds: int) -> Da
 
 
 def split_groups(weights: DataFrame, docs: DataFrame, most: int = 300, fan: int = 8, depth: int = 4, rounds: int = 5) -> DataFrame:
-    """(doc_id, grp) for docs (grp, doc_id): groups of more than ``most`` documents are clustered again by weights (grp, doc_id, term, w), all at once, until they fit.
+    """(doc_id, grp) for docs (grp, doc_id): groups of more than ``most`` documents are clustered again by weights (doc_id, term, w), all at once, until they fit.
 
-    A level splits each large group into up to ``fan`` clusters, named grp/cluster. Work grows with the documents that don't fit yet, not with the square of a group. What is too
+    A document may be in several groups, which split apart from one another, each from first centres of its own. A level splits each large group into up to ``fan`` clusters, named grp/cluster. Work grows with the documents that don't fit yet, not with the square of a group. What is too
     large after ``depth`` levels, such as a group of copies, is dealt by hash and sliced, as grp/part/slice. Names are the same however the data is dealt.
     """
     one, left = docs.select("grp", "doc_id"), None
@@ -81,16 +92,16 @@ def split_groups(weights: DataFrame, docs: DataFrame, most: int = 300, fan: int
         if level == depth or not count.get["n"]:
             break
         own = weights.select("doc_id", "term", "w").join(left, "doc_id")
-        one = clustered(own, left, fan, rounds).select(F.concat_ws("/", "grp", F.col("cluster").cast("string")).alias("grp"), "doc_id")
+        one = clustered(own, left, fan, rounds, by_group=True).select(F.concat_ws("/", "grp", F.col("cluster").cast("string")).alias("grp"), "doc_id")
     sliced = bounded_groups(left, "grp", "doc_id", most).select("doc_id", F.concat_ws("/", "grp", F.col("part").cast("string"), F.col("slice").cast("string")).alias("grp"))
     return functools.reduce(DataFrame.unionByName, [*fits, sliced])
 
 
-def clusters_sql(w: str, docs: str, most: int, rounds: int, tag: str = "") -> str:
-    """The same as CTEs over the named w(grp, doc_id, term, w) and docs(grp, doc_id); the last one is ``member``. tag: ends all their names."""
+def clusters_sql(w: str, docs: str, most: int, rounds: int, tag: str = "", by: str = "doc_id::VARCHAR") -> str:
+    """The same as CTEs over the named w(grp, doc_id, term, w) and docs(grp, doc_id); the last one is ``member``. tag: ends all their names; by: what is hashed to choose first centres."""
     out = f"""dg{tag} AS MATERIALIZED (SELECT grp, doc_id, sum(('0x' || substr(h, 1, 8))::BIGINT) AS s1, sum(('0x' || substr(h, 9, 8))::BIGINT) AS s2, count(*) AS n FROM (SELECT *, md5(term || '=' || w::BIGINT) AS h FROM {w}) GROUP BY grp, doc_id),
-one{tag} AS (SELECT * FROM dg{tag} QUALIFY row_number() OVER (PARTITION BY grp, s1, s2, n ORDER BY md5(doc_id::VARCHAR), doc_id) = 1),
-a{tag}0 AS MATERIALIZED (SELECT grp, doc_id, row_number() OVER (PARTITION BY grp ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS c FROM one{tag} QUALIFY c < {most})"""
+one{tag} AS (SELECT * FROM dg{tag} QUALIFY row_number() OVER (PARTITION BY grp, s1, s2, n ORDER BY md5({by}), doc_id) = 1),
+a{tag}0 AS MATERIALIZED (SELECT grp, doc_id, row_number() OVER (PARTITION BY grp ORDER BY md5({by}), doc_id) - 1 AS c FROM one{tag} QUALIFY c < {most})"""
     for i in range(rounds):
         out += f""", n{tag}{i} AS MATERIALIZED (SELECT grp, c, count(*) AS n FROM a{tag}{i} GROUP BY grp, c),
 m{tag}{i} AS MATERIALIZED (SELECT grp, term, c, floor((2 * s + n) / (2 * n)) AS m FROM (SELECT grp, term, c, sum(w) AS s FROM {w} JOIN a{tag}{i} USING (grp, doc_id) GROUP BY grp, term, c) JOIN n{tag}{i} USING (grp, c)),
@@ -105,7 +116,7 @@ def split_sql(w: str, docs: str, most: int, fan: int, depth: int, rounds: int) -
     out = f"g0 AS MATERIALIZED (SELECT grp, doc_id, count(*) OVER (PARTITION BY grp) > {most} AS large FROM {docs})"
     for i in range(depth):
         out += f""", l{i} AS MATERIALIZED (SELECT grp, doc_id FROM g{i} WHERE large), w{i} AS MATERIALIZED (SELECT grp, doc_id, term, w FROM {w} JOIN l{i} USING (doc_id)),
-{clusters_sql(f"w{i}", f"l{i}", fan, rounds, f"_{i}_")}, g{i + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) > {most} AS large FROM (SELECT grp || '/' || cluster AS grp, doc_id FROM member_{i}_))"""
+{clusters_sql(f"w{i}", f"l{i}", fan, rounds, f"_{i}_", "concat_ws(':', grp, doc_id)")}, g{i + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) > {most} AS large FROM (SELECT grp || '/' || cluster AS grp, doc_id FROM member_{i}_))"""
     fits = " UNION ALL ".join(f"SELECT doc_id, grp FROM g{i} WHERE NOT large" for i in range(depth + 1))
     return out + f""", dealt AS (SELECT grp, doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % ((count(*) OVER (PARTITION BY grp) + {most - 1}) // {most}) AS part FROM g{depth} WHERE large),
 split AS ({fits} UNION ALL SELECT doc_id, grp || '/' || part || '/' || ((row_number() OVER (PARTITION BY grp, part ORDER BY doc_id) - 1) // {most}) AS grp FROM dealt)"""

@@ -62,6 +62,17 @@ def similar(weights: DataFrame, groups: DataFrame, k: int = 5, max_df: int | Non
     return ranked(scores, "doc_id", "score", "other_id", k)
 
 
+def similar_in_any(weights: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
+    """The k most similar documents of each document among those that share any of its groups (doc_id, grp), which are bounded; a document may be in several."""
+    positive = weights.where("weight > 0")
+    norm = positive.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    unit = positive.join(norm, "doc_id").join(groups, "doc_id").select("doc_id", "grp", "term", (F.col("weight") / F.col("norm")).alias("w"))
+    other = unit.select(F.col("doc_id").alias("other_id"), "grp", "term", F.col("w").alias("v"))
+    pairs = unit.join(other, ["grp", "term"]).where("doc_id <> other_id")
+    scores = pairs.groupBy("grp", "doc_id", "other_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("score"))
+    return ranked(scores.groupBy("doc_id", "other_id").agg(F.max("score").alias("score")).where("score > 0"), "doc_id", "score", "other_id", k)
+
+
 def similar_vectors(vectors: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest (cosine) vectors of each vector within its label."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

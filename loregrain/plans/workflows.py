@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contract, feeds, keywords, knowledge, profiles, records
 from ..sources import landed, tables, transcripts
-from ..operators.clusters import clusters_sql, split_groups, split_sql, whole_weight
+from ..operators.clusters import UNIT_SQL, clusters_sql, split_groups, split_sql, unit_weights
 from ..streaming import events as streams
 from . import catalogue
 from .oracle import DOCS, PROFILE, STOP, TF, cosine
@@ -364,27 +364,32 @@ def similar_docs_bounded(spark, sf):
     return keywords.similar(keywords.tfidf(tables.documents(spark, sf)), tables.staged(_bounded(spark, sf), "bounded-groups"))
 
 
-SPLIT = f"""{TF}, kw AS MATERIALIZED (SELECT doc_id, term, round(weight * 1000) AS w FROM w WHERE weight > 0), kd AS (SELECT 'all' AS grp, doc_id FROM d), {split_sql("kw", "kd", 300, 4, 3, 4)}"""
+def _split_sql(times: int) -> str:
+    """Each document in ``times`` groups of all documents, which are split."""
+    return f"""{TF}, kw AS MATERIALIZED ({UNIT_SQL}), kd AS (SELECT CAST(t AS VARCHAR) AS grp, doc_id FROM d, range({times}) r(t)), {split_sql("kw", "kd", 300, 4, 3, 4)}"""
 
 
-def _split(docs, weights):
-    whole = weights.where("weight > 0").select("doc_id", "term", whole_weight(F.col("weight")).alias("w"))
-    return split_groups(whole, docs.select(F.lit("all").alias("grp"), "doc_id"), 300, fan=4, depth=3, rounds=4)
+def _split(docs, weights, times):
+    every = docs.select(F.explode(F.array(*(F.lit(str(t)) for t in range(times)))).alias("grp"), "doc_id")
+    return split_groups(tables.staged(unit_weights(weights), "unit-weights"), every, 300, fan=4, depth=3, rounds=4)
 
 
-@query(f"{SPLIT} SELECT doc_id, grp FROM split")
+@query(f"{_split_sql(1)} SELECT doc_id, grp FROM split")
 def kmeans_bounded_groups(spark, sf):
     """All documents, clustered again and again until no group has more than 300."""
     docs = tables.documents(spark, sf)
-    return _split(docs, tables.staged(keywords.tfidf(docs), "weights"))
+    return _split(docs, tables.staged(keywords.tfidf(docs), "weights"), 1)
 
 
-@query(f"{SPLIT}, {cosine('SELECT doc_id, grp FROM split', 5)} SELECT doc_id, other_id, score, rank FROM near")
+@query(f"""{_split_sql(6)}, u AS (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS v FROM w WHERE weight > 0),
+pairs AS (SELECT DISTINCT a.doc_id, b.doc_id AS other_id FROM split a JOIN split b ON a.grp = b.grp AND a.doc_id <> b.doc_id),
+s AS (SELECT a.doc_id, b.doc_id AS other_id, round(sum(a.v * b.v), 6) AS score FROM u a JOIN u b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_id) AS rank FROM s SEMI JOIN pairs USING (doc_id, other_id) WHERE score > 0) SELECT doc_id, other_id, score, rank FROM near WHERE rank <= 5""")
 def similar_docs_split(spark, sf):
-    """Neighbours within groups of at most 300 documents that are alike, whatever their source and language."""
+    """Neighbours among documents that any of six splits puts together, in groups of at most 300, whatever their source and language."""
     docs = tables.documents(spark, sf)
     weights = tables.staged(keywords.tfidf(docs), "weights")
-    return keywords.similar(weights, tables.staged(_split(docs, weights), "split-groups"))
+    return keywords.similar_in_any(weights, tables.staged(_split(docs, weights, 6), "split-groups"))
 
 
 @query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CASE event_id % 11 WHEN 0 THEN 'many' WHEN 1 THEN ' 7 ' ELSE CAST(event_id % 130 AS VARCHAR) END END AS lim,

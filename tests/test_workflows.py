@@ -170,3 +170,22 @@ def test_split_groups_are_bounded_and_alike(spark):
     assert {r["doc_id"]: r["grp"] for r in again.collect()} == got
     none = clusters.split_groups(weights.where("false"), frame.where("false"), most=20)
     assert none.count() == 0 and none.columns == ["doc_id", "grp"]
+
+
+def test_similar_in_any_group_counts_a_pair_once(spark):
+    vectors = {1: {"a": 1.0, "b": 2.0}, 2: {"a": 2.0, "b": 4.0}, 3: {"a": 1.0}, 4: {"b": 1.0}, 5: {"c": 1.0}}
+    weights = spark.createDataFrame([(d, t, w) for d, v in vectors.items() for t, w in v.items()], "doc_id long, term string, weight double")
+    groups = spark.createDataFrame([(1, "x"), (2, "x"), (1, "y"), (2, "y"), (3, "y"), (5, "y"), (4, "z")], "doc_id long, grp string")
+    got = rows(keywords.similar_in_any(weights, groups, 2), "doc_id", "other_id", "score", "rank")
+    third = 0.447214
+    assert got == [(1, 2, 1.0, 1), (1, 3, third, 2), (2, 1, 1.0, 1), (2, 3, third, 2), (3, 1, third, 1), (3, 2, third, 2)]
+
+
+def test_splits_of_one_group_differ(spark):
+    told = [(i, f"w{(7 * i + j * j) % 31}", float(1 + j)) for i in range(120) for j in range(5)]
+    weights = clusters.unit_weights(spark.createDataFrame(told, "doc_id long, term string, weight double"))
+    docs = spark.createDataFrame([(g, i) for g in ("0", "1") for i in range(120)], "grp string, doc_id long")
+    got = rows(clusters.split_groups(weights, docs, most=40, fan=4, depth=2, rounds=3), "doc_id", "grp")
+    assert len(got) == 240 and max(Counter(g for _, g in got).values()) <= 40
+    parts = [{frozenset(d for d, h in got if h == g) for g in {h for _, h in got if h[0] == t}} for t in "01"]
+    assert parts[0] != parts[1]
