@@ -118,8 +118,9 @@ JUDGED = "j AS (SELECT source AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CA
 
 @query(f"WITH {JUDGED} SELECT * FROM j")
 def judgments_report(spark, sf):
-    """A JSON report, written and read again."""
-    lists = _judged(spark, sf).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "grade"))).alias("judgments"))
+    """A JSON report, written and read again; an object holds at most a thousand judgments of a query."""
+    dealt = records.bounded_groups(_judged(spark, sf), "query_id", "doc_id", 1000)
+    lists = dealt.groupBy("query_id", "part", "slice").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "grade"))).alias("judgments")).drop("part", "slice")
     path = f"{tables.shared_folder(spark)}/judgments-{uuid.uuid4().hex}"
     lists.write.json(path)
     return landed.judgments(spark, path, one_list=False)
