@@ -90,11 +90,11 @@ def bounded_groups(rows: DataFrame, group: str, key: str, most: int = 300) -> Da
     """rows with ``part`` and ``slice``: (group, part, slice) holds at most ``most`` rows.
 
     A group is dealt by hash into as many parts as it needs on average, and a part that gets too many is sliced in the order of key, so
-    that no task sorts a whole large group.
+    that no task sorts a whole large group: rows are dealt by both, as a join by group alone would leave its groups whole.
     """
     parts = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(most)).cast("long").alias("parts"))
     hashed = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
-    dealt = rows.join(parts, group).withColumn("part", F.pmod(hashed, F.col("parts"))).drop("parts")
+    dealt = rows.join(parts, group).withColumn("part", F.pmod(hashed, F.col("parts"))).drop("parts").repartition(group, "part")
     place = F.row_number().over(Window.partitionBy(group, "part").orderBy(key))
     return dealt.withColumn("slice", F.floor((place - 1) / F.lit(most)).cast("long"))
 
