@@ -43,24 +43,23 @@ def first_of(docs: DataFrame, key: str, order: str = "doc_id") -> DataFrame:
 def greedy(docs: DataFrame, keys: tuple[str, str], order: str = "doc_id") -> DataFrame:
     """Rows kept by taking rows in order, unless an earlier kept row has the same value of either key.
 
-    Rounds: a row that is first by both keys among the open ones is kept, rows that share a key with it go; repeat. Each round is
-    written to the shared folder, which cuts the lineage; rounds number as the longest chain of alternating keys.
+    Rounds: a row that is first by both keys among the open ones is kept, rows that share a key with it go; repeat. A key's minimum
+    carries the row's other key, so that the rows to keep are the minima of both keys that meet, and each key has one of them at most.
+    The keys are computed once; each round is one table in the shared folder, which cuts the lineage; rounds number as the longest
+    chain of alternating keys. Rows with a null key are not kept.
     """
     a, b = keys
-
-    def cut(df: DataFrame) -> DataFrame:
-        return staged(df, "greedy")
-
-    open_ = docs.select(order, a, b)
-    kept = None
-    while True:
-        # least by key, with partial minima first, so that a hot key is never sorted in one task
-        least = [open_.groupBy(k).agg(F.min(order).alias(f"__first_{i}")) for i, k in enumerate(keys)]
-        both = open_.join(least[0], a).join(least[1], b)
-        ranked = cut(both.select(order, a, b, ((F.col(order) == F.col("__first_0")) & (F.col(order) == F.col("__first_1"))).alias("taken")))
-        taken = ranked.where("taken").drop("taken")
-        kept = taken if kept is None else kept.unionByName(taken)
-        left = ranked.where("not taken").drop("taken")
-        open_ = cut(left.join(taken.select(a), a, "left_anti").join(taken.select(b), b, "left_anti").select(order, a, b))
-        if open_.isEmpty():
-            return docs.join(kept.select(order), order, "left_semi")
+    open_ = staged(docs.select(order, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()), "greedy")
+    kept = open_.select(order).limit(0)
+    while not open_.isEmpty():
+        # partial minima come first, so that a hot key is never sorted in one task
+        first_a = open_.groupBy(a).agg(F.min(F.struct(order, b)).alias("m")).select(a, f"m.{order}", f"m.{b}")
+        first_b = open_.groupBy(b).agg(F.min(F.struct(order, a)).alias("m")).select(b, f"m.{order}", f"m.{a}")
+        taken = first_a.join(first_b, [order, a, b])
+        by_a, by_b = taken.select(a, F.col(order).alias("__a")), taken.select(b, F.lit(True).alias("__b"))
+        marked = open_.join(by_a, a, "left").join(by_b, b, "left")
+        is_taken = F.coalesce(F.col(order) == F.col("__a"), F.lit(False))
+        round_ = staged(marked.where(is_taken | (F.col("__a").isNull() & F.col("__b").isNull())).select(order, a, b, is_taken.alias("__taken")), "greedy")
+        kept = kept.unionByName(round_.where("__taken").select(order))
+        open_ = round_.where("not __taken").drop("__taken")
+    return docs.join(kept, order, "left_semi")

@@ -65,14 +65,12 @@ seg AS (SELECT conv_id, i AS segment_id, substr(text, i * 800 + 1, 800) AS body
 sd AS (SELECT conv_id * 1000 + segment_id AS doc_id, conv_id, body FROM seg)"""
 
 
-def greedy(rounds: int = 4) -> str:
-    out, open_ = f"WITH {DOCS}, {HASHED}", "h"
-    for i in range(rounds):
-        out += f""", r{i} AS (SELECT *, doc_id = min(doc_id) OVER (PARTITION BY source_url) AND doc_id = min(doc_id) OVER (PARTITION BY hash) AS taken FROM {open_}),
-k{i} AS (SELECT * FROM r{i} WHERE taken),
-o{i} AS (SELECT doc_id, source_url, hash FROM r{i} WHERE NOT taken AND source_url NOT IN (SELECT source_url FROM k{i}) AND hash NOT IN (SELECT hash FROM k{i}))"""
-        open_ = f"o{i}"
-    return out + " " + " UNION ALL ".join(f"SELECT doc_id FROM k{i}" for i in range(rounds))
+#: As many rounds as the rows ask for: those kept are out of the next round, and so are those that share a key with one of them.
+GREEDY = f"""WITH RECURSIVE {DOCS}, {HASHED},
+g AS (SELECT doc_id, source_url, hash, doc_id = min(doc_id) OVER (PARTITION BY source_url) AND doc_id = min(doc_id) OVER (PARTITION BY hash) AS taken FROM h
+  UNION ALL SELECT doc_id, source_url, hash, doc_id = min(doc_id) OVER (PARTITION BY source_url) AND doc_id = min(doc_id) OVER (PARTITION BY hash) FROM
+  (SELECT * FROM (SELECT *, bool_or(taken) OVER (PARTITION BY source_url) OR bool_or(taken) OVER (PARTITION BY hash) AS settled FROM g) WHERE NOT settled))
+SELECT doc_id FROM g WHERE taken"""
 
 
 KMEANS = f"""{TF}, often AS (SELECT term FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000),
@@ -87,7 +85,7 @@ SQL: dict[str, str] = {
     "doc_quality": f"WITH {DOCS} SELECT source, count(*) AS n_docs, CAST(sum(CASE WHEN words < 50 THEN 1 ELSE 0 END) AS BIGINT) AS n_short FROM d GROUP BY source",
     "dedup_exact": f"WITH {DOCS} SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM d GROUP BY source_url",
     "dedup_content": f"WITH {DOCS}, {HASHED} SELECT min(doc_id) AS doc_id, hash FROM h GROUP BY hash",
-    "dedup_greedy": greedy(),
+    "dedup_greedy": GREEDY,
     "html_to_text": r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages",
     "url_normalize": """SELECT page_id, lower(regexp_extract(url, '^[^:]+://[^/?#]*')) || CASE WHEN r = '' THEN '/' WHEN starts_with(r, '?') THEN '/' || r ELSE r END AS url
 FROM (SELECT *, regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) AS r FROM pages)""",
