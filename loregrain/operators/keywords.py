@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,13 +75,40 @@ def similar_in_any(weights: DataFrame, groups: DataFrame, k: int = 5) -> DataFra
     return ranked(scores.groupBy("doc_id", "other_id").agg(F.max("score").alias("score")).where("score > 0"), "doc_id", "score", "other_id", k)
 
 
-def similar_vectors(vectors: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest (cosine) vectors of each vector within its label."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    one = vectors.select("vec_id", "label", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
-    other = one.select(F.col("vec_id").alias("other_id"), "label", F.col("embedding").alias("e"), F.col("norm").alias("m"))
-    score = F.round(dot("embedding", "e") / (F.col("norm") * F.col("m")), 6)
-    scores = one.join(other, "label").where("vec_id <> other_id").select("vec_id", "other_id", score.alias("score"))
+def similar_vectors(vectors: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
+    """The k nearest (cosine) vectors of each vector within its label, by all pairs of blocks of about ``block`` vectors.
+
+    A task multiplies two blocks and hands on k rows of each vector at most, so no pair of vectors is ever a row. A label's work and the copies of
+    its vectors grow with the square of its blocks, as an exact search asks for. Shorter vectors count as ending in zeros. Vectors without a length
+    (null, empty, all zero, with null or non-finite entries) have no neighbours and are nobody's; those without a label neither. vec_id is unique.
+    """
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    usable = vectors.select("vec_id", "label", "embedding", length.alias("norm")).where("norm > 0 and norm < double('inf')")
+    blocks = usable.groupBy("label").agg(F.ceil(F.count("*") / block).alias("n"))
+    dealt = usable.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("n")))
+    # each pair of blocks is one tile, named by its smaller and its larger block
+    tiles = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    tiles = tiles.select("label", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "vec_id", "embedding", "norm")
+
+    def nearest(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("vec_id")  # so that a stable sort settles ties by id
+        ids, first = tile["vec_id"].to_numpy(), (tile["own"] == tile["low"]).to_numpy()
+        x = np.zeros((len(tile), max(map(len, tile["embedding"]))))
+        for row, e in zip(x, tile["embedding"], strict=True):
+            row[: len(e)] = e
+        norm = tile["norm"].to_numpy()
+        sides = [(first, first)] if first.all() else [(first, ~first), (~first, first)]
+        found = []
+        for a, b in sides:
+            scores = np.round(x[a] @ x[b].T / np.outer(norm[a], norm[b]), 6)
+            scores[ids[a][:, None] == ids[b][None, :]] = -np.inf
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            found.append(pd.DataFrame({"vec_id": np.repeat(ids[a], best.shape[1]), "other_id": ids[b][best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+        rows = pd.concat(found)
+        return rows[rows["score"] > -np.inf]
+
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    scores = tiles.groupBy("label", "low", "high").applyInPandas(nearest, f"vec_id {kind}, other_id {kind}, score double")
     return ranked(scores, "vec_id", "score", "other_id", k)
 
 
