@@ -75,40 +75,65 @@ def similar_in_any(weights: DataFrame, groups: DataFrame, k: int = 5) -> DataFra
     return ranked(scores.groupBy("doc_id", "other_id").agg(F.max("score").alias("score")).where("score > 0"), "doc_id", "score", "other_id", k)
 
 
+def _packed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors (shorter ones end in zeros) and lengths."""
+    x = np.zeros((len(rows), max(map(len, rows["embedding"]))))
+    for row, e in zip(x, rows["embedding"], strict=True):
+        row[: len(e)] = e
+    return rows["vec_id"].to_numpy(), x, rows["norm"].to_numpy()
+
+
 def similar_vectors(vectors: DataFrame, k: int = 5, block: int = 1000) -> DataFrame:
-    """The k nearest (cosine) vectors of each vector within its label, by all pairs of blocks of about ``block`` vectors.
+    """The k nearest (cosine) vectors of each vector within its label, by blocks of about ``block`` vectors that the label's vectors stream past.
 
-    A task multiplies two blocks and hands on k rows of each vector at most, so no pair of vectors is ever a row. A label's work and the copies of
-    its vectors grow with the square of its blocks, as an exact search asks for. Shorter vectors count as ending in zeros. Vectors without a length
+    A block holds its vectors and the k best of each so far; these are all it hands on, so no pair of vectors is ever a row. A label's work and the
+    copies of its vectors grow with vectors x blocks, as an exact search asks for. Shorter vectors count as ending in zeros. Vectors without a length
     (null, empty, all zero, with null or non-finite entries) have no neighbours and are nobody's; those without a label neither. vec_id is unique.
     """
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     usable = vectors.select("vec_id", "label", "embedding", length.alias("norm")).where("norm > 0 and norm < double('inf')")
     blocks = usable.groupBy("label").agg(F.ceil(F.count("*") / block).alias("n"))
-    dealt = usable.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("n")))
-    # each pair of blocks is one tile, named by its smaller and its larger block
-    tiles = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    tiles = tiles.select("label", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "vec_id", "embedding", "norm")
-
-    def nearest(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values("vec_id")  # so that a stable sort settles ties by id
-        ids, first = tile["vec_id"].to_numpy(), (tile["own"] == tile["low"]).to_numpy()
-        x = np.zeros((len(tile), max(map(len, tile["embedding"]))))
-        for row, e in zip(x, tile["embedding"], strict=True):
-            row[: len(e)] = e
-        norm = tile["norm"].to_numpy()
-        sides = [(first, first)] if first.all() else [(first, ~first), (~first, first)]
-        found = []
-        for a, b in sides:
-            scores = np.round(x[a] @ x[b].T / np.outer(norm[a], norm[b]), 6)
-            scores[ids[a][:, None] == ids[b][None, :]] = -np.inf
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            found.append(pd.DataFrame({"vec_id": np.repeat(ids[a], best.shape[1]), "other_id": ids[b][best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
-        rows = pd.concat(found)
-        return rows[rows["score"] > -np.inf]
+    dealt = usable.join(blocks, "label")
+    row = ["vec_id", "embedding", "norm"]
+    own = dealt.select("label", F.pmod(F.xxhash64("vec_id"), F.col("n")).alias("block"), F.lit(0).alias("side"), *row)
+    every = dealt.select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"), F.lit(1).alias("side"), *row)
+    # a block's own vectors come first, then all of its label by id
+    order = ["label", "block", "side", "vec_id"]
+    both = own.unionByName(every).repartition("label", "block").sortWithinPartitions(*order)
+
+    def nearest(batches):
+        key, held, ids, best_ids, best = None, [], None, None, None
+
+        def found():
+            rows = pd.DataFrame({"vec_id": np.repeat(ids, best.shape[1]), "other_id": best_ids.ravel(), "score": best.ravel()})
+            return rows[rows["score"] > -np.inf]
+
+        for batch in batches:
+            for (label, number, side), part in batch.groupby(["label", "block", "side"], sort=False):
+                if (label, number) != key:
+                    if ids is not None:
+                        yield found()
+                    key, held, ids = (label, number), [], None
+                if side == 0:
+                    held.append(part)
+                    continue
+                if ids is None:
+                    ids, x, norm = _packed(pd.concat(held))
+                    best_ids, best = np.zeros((len(ids), 0), ids.dtype), np.zeros((len(ids), 0))
+                for at in range(0, len(part), block):
+                    other, y, length = _packed(part.iloc[at : at + block])
+                    width = min(x.shape[1], y.shape[1])
+                    scores = np.round(x[:, :width] @ y[:, :width].T / np.outer(norm, length), 6)
+                    scores[ids[:, None] == other[None, :]] = -np.inf
+                    # later ids are larger, so that a stable sort settles ties by id
+                    scores, names = np.hstack([best, scores]), np.hstack([best_ids, np.broadcast_to(other, scores.shape)])
+                    first = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    best, best_ids = np.take_along_axis(scores, first, 1), np.take_along_axis(names, first, 1)
+        if ids is not None:
+            yield found()
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    scores = tiles.groupBy("label", "low", "high").applyInPandas(nearest, f"vec_id {kind}, other_id {kind}, score double")
+    scores = both.mapInPandas(nearest, f"vec_id {kind}, other_id {kind}, score double")
     return ranked(scores, "vec_id", "score", "other_id", k)
 
 
