@@ -38,3 +38,12 @@ def test_blocks_find_what_all_pairs_give(spark, monkeypatch, block, tile, dense)
 def test_nothing_is_near_in_empty_tables(spark):
     weights = spark.createDataFrame([], "doc_id long, term string, weight double")
     assert keywords.similar(weights, spark.createDataFrame([], "doc_id long, grp string")).collect() == []
+
+
+def test_terms_are_counted_where_texts_are_read(spark):
+    docs = spark.createDataFrame([(1, "B the b a1b"), (2, None), (3, "ÄBc Éa"), (None, "x")], "doc_id long, body string")
+    counts = keywords.term_counts(docs)
+    assert sorted((r["doc_id"] or 0, r["term"], r["tf"]) for r in counts.collect()) == [(0, "x", 1), (1, "b", 3), (3, "bc", 1)]
+    assert "Aggregate" not in counts._sc._jvm.PythonSQLUtils.explainString(counts._jdf.queryExecution(), "formatted")
+    twice = keywords.term_counts(docs.unionByName(docs.where("doc_id = 1")))
+    assert sorted((r["doc_id"] or 0, r["term"], r["tf"]) for r in twice.collect()) == [(0, "x", 1), (1, "b", 6), (3, "bc", 1)]
