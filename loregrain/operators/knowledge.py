@@ -43,33 +43,43 @@ def matched_terms(units: DataFrame, known: DataFrame) -> DataFrame:
     return units.join(known, "term").groupBy("user_id", "knowledge_id").agg(F.array_sort(F.collect_set("term")).alias("matched"))
 
 
-def classified(users: DataFrame, units: DataFrame, known: DataFrame, topics: DataFrame) -> DataFrame:
-    """(user_id, knowledge_id, topic_id, doc_id, n_terms, n_matched, in_topic, status) for every user and unit.
+def classified(users: DataFrame, units: DataFrame, known: DataFrame, topics: DataFrame, reads: DataFrame | None = None) -> DataFrame:
+    """(user_id, knowledge_id, topic_id, doc_id, n_terms, n_matched, in_topic, status) for every user and unit; with reads, whether the user has seen the unit's document too.
 
-    Units are a few per topic, so every user gets all of them; matches are counted by joins on terms and never by pairs.
+    Units are a few per topic, so every user gets all of them. What is known of a user about them is one short row, made by joins on terms and documents,
+    so that the many rows of the result are never shuffled.
     """
-    unit = units.groupBy("knowledge_id", "topic_id", "doc_id").agg(F.count("*").alias("n_terms"))
-    hits = units.join(known, "term").groupBy("user_id", "knowledge_id").agg(F.count("*").alias("n_matched"))
-    # every user gets every unit: that is the result. Spark broadcasts units below its threshold and deals both sides into blocks above it
-    all_ = users.crossJoin(unit).join(hits, ["user_id", "knowledge_id"], "left")
-    flagged = all_.join(topics.select("user_id", "topic_id", F.lit(True).alias("in_topic")), ["user_id", "topic_id"], "left").fillna(0, ["n_matched"]).fillna(False, ["in_topic"])
-    return flagged.withColumn("status", status(F.col("n_matched"), F.col("in_topic")))
+    unit = F.broadcast(units.groupBy("knowledge_id", "topic_id", "doc_id").agg(F.count("*").alias("n_terms")))
+    hits = units.join(known, "term").groupBy("user_id", "knowledge_id").agg(F.count("*").alias("n"))
+    own = [
+        hits.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("knowledge_id", "n"))).alias("hits")),
+        topics.join(F.broadcast(units.select("topic_id").distinct()), "topic_id", "left_semi").groupBy("user_id").agg(F.collect_set("topic_id").alias("topics")),
+    ]
+    if reads is not None:
+        own.append(reads.join(F.broadcast(units.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("user_id").agg(F.collect_set("doc_id").alias("docs")))
+    for facts in own:
+        users = users.join(facts, "user_id", "left")
+    has = lambda which, c: F.coalesce(F.array_contains(which, F.col(c)), F.lit(False))
+    n_matched, in_topic = F.coalesce(F.try_element_at("hits", F.col("knowledge_id")), F.lit(0)), has("topics", "topic_id")
+    seen = [has("docs", "doc_id").alias("seen")] if reads is not None else []
+    rows = users.crossJoin(unit).select("user_id", "knowledge_id", "topic_id", "doc_id", "n_terms", n_matched.alias("n_matched"), in_topic.alias("in_topic"), *seen)
+    return rows.withColumn("status", status(F.col("n_matched"), F.col("in_topic")))
 
 
 def with_conflicts(units: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Units whose evidence has a snippet get it; those with reviewed evidence become possible_conflict, others wait for review."""
-    joined = units.join(evidence.where("snippet <> ''"), "knowledge_id", "left")
+    """Units whose evidence has a snippet get it; those with reviewed evidence become possible_conflict, others wait for review. Evidence is a row for each unit, and units are few."""
+    joined = units.join(F.broadcast(evidence.where("snippet <> ''")), "knowledge_id", "left")
     found = F.col("snippet").isNotNull()
     return joined.withColumn("pending_review", found & ~F.col("reviewed")).withColumn("status", F.when(found & F.col("reviewed"), "possible_conflict").otherwise(F.col("status"))).fillna(False, ["pending_review"])
 
 
-def scored(classes: DataFrame, docs: DataFrame, reads: DataFrame, weights=(0.4, 0.4, 0.2, 0.5)) -> DataFrame:
-    """classes with a score: topic relevance, new keywords and quality for it, having read the document against it."""
+def scored(classes: DataFrame, docs: DataFrame, weights=(0.4, 0.4, 0.2, 0.5)) -> DataFrame:
+    """classes, which tell what was seen, with a score: topic relevance, new keywords and quality for it, having read the document against it. docs: those of the units."""
     topic, new, quality, read = weights
-    facts = classes.join(docs.select("doc_id", "reliable"), "doc_id", "left").join(reads.select("user_id", "doc_id", F.lit(1.0).alias("seen")), ["user_id", "doc_id"], "left")
+    facts = classes.join(F.broadcast(docs.select("doc_id", "reliable")), "doc_id", "left")
     ratio = (F.col("n_terms") - F.col("n_matched")) / F.col("n_terms")
     good = F.when(F.coalesce("reliable", F.lit(True)), 1.0).otherwise(0.3)
-    score = topic * F.col("in_topic").cast("double") + new * ratio + quality * good - read * F.coalesce("seen", F.lit(0.0))
+    score = topic * F.col("in_topic").cast("double") + new * ratio + quality * good - read * F.col("seen").cast("double")
     return facts.withColumn("score", F.round(score, 6))
 
 

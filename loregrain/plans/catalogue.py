@@ -114,8 +114,8 @@ def kmeans_topics(spark, sf):
 
 def _topics(spark, sf):
     docs = _docs(spark, sf)
-    top = keywords.top_keywords(docs)
-    return docs, top, knowledge.topic_terms(top, docs), knowledge.topic_counts(docs)
+    top = tables.staged(keywords.top_keywords(docs), "top-keywords")
+    return docs, top, tables.staged(knowledge.topic_terms(top, docs), "topic-terms"), knowledge.topic_counts(docs)
 
 
 @query
@@ -134,10 +134,13 @@ def knowledge_units(spark, sf):
     return knowledge.knowledge_units(terms, counts)
 
 
-def _profile(spark, sf):
+def _profile(spark, sf, of_units=False):
+    """of_units: only keywords that are terms of units, the only ones that these are matched with."""
     docs, top, terms, counts = _topics(spark, sf)
     events = tables.table(spark, sf, "events")
     topics, reads = tables.known_topics(events), tables.reads(events, docs)
+    if of_units:
+        top = top.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     return docs, terms, counts, events, topics, reads, knowledge.known_keywords(topics, terms, reads, top)
 
 
@@ -147,32 +150,35 @@ def profile_known_keywords(spark, sf):
 
 
 def _classes(spark, sf):
-    docs, terms, counts, events, topics, reads, known = _profile(spark, sf)
+    """Documents of units, units, and users with all of these."""
+    docs, terms, counts, events, topics, reads, known = _profile(spark, sf, of_units=True)
     users = events.select("user_id").distinct()
-    return docs, reads, knowledge.classified(users, knowledge.knowledge_units(terms, counts), known, topics)
+    units = tables.staged(knowledge.knowledge_units(terms, counts), "units")
+    own = docs.join(F.broadcast(units.select("doc_id").distinct()), "doc_id", "left_semi")
+    return own, knowledge.classified(users, units, known, topics, reads)
 
 
 @query
 def classify_units(spark, sf):
-    return _classes(spark, sf)[2].select("user_id", "knowledge_id", "n_matched", "status")
+    return _classes(spark, sf)[1].select("user_id", "knowledge_id", "n_matched", "status")
 
 
 @query
 def classify_counts(spark, sf):
-    return _classes(spark, sf)[2].groupBy("status").agg(F.count("*").alias("n"))
+    return _classes(spark, sf)[1].groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query
 def conflict_override(spark, sf):
-    units = _classes(spark, sf)[2].select("user_id", "knowledge_id", "status")
+    units = _classes(spark, sf)[1].select("user_id", "knowledge_id", "status")
     events = tables.table(spark, sf, "events").where("event_type = 'error'")
     evidence = events.groupBy(F.concat(F.lit("topic:"), (F.col("event_id") % 20).cast("string")).alias("knowledge_id")).agg(F.max(F.col("event_id") % 7 == 0).alias("reviewed"), F.lit("evidence").alias("snippet"))
     return knowledge.with_conflicts(units, evidence).select("user_id", "knowledge_id", "status", "pending_review")
 
 
 def _scores(spark, sf):
-    docs, reads, classes = _classes(spark, sf)
-    return docs, knowledge.scored(classes, docs, reads)
+    docs, classes = _classes(spark, sf)
+    return docs, knowledge.scored(classes, docs)
 
 
 @query
@@ -188,7 +194,7 @@ def recommendations_topk(spark, sf):
 @query
 def recommendations_by_source(spark, sf):
     docs, scores = _scores(spark, sf)
-    named = scores.join(docs.select("doc_id", "source", "title"), "doc_id", "left").where("source = 'src7'")
+    named = scores.join(F.broadcast(docs.where("source = 'src7'").select("doc_id", "title")), "doc_id")
     return knowledge.recommended(named, 5).select("user_id", "knowledge_id", "title", "rank")
 
 

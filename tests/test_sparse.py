@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from loregrain.operators import keywords, sparse
+from loregrain.operators import keywords, knowledge, sparse
 
 
 @pytest.mark.parametrize(("block", "tile", "dense"), [(16_384, 1024, 0.05), (9, 4, 0.2), (15, 64, 1.0), (20, 7, 0.0)])
@@ -47,3 +47,22 @@ def test_terms_are_counted_where_texts_are_read(spark):
     assert "Aggregate" not in counts._sc._jvm.PythonSQLUtils.explainString(counts._jdf.queryExecution(), "formatted")
     twice = keywords.term_counts(docs.unionByName(docs.where("doc_id = 1")))
     assert sorted((r["doc_id"] or 0, r["term"], r["tf"]) for r in twice.collect()) == [(0, "x", 1), (1, "b", 6), (3, "bc", 1)]
+
+
+def test_rows_of_users_and_units_are_not_shuffled(spark):
+    users = spark.createDataFrame([(1,), (2,), (None,)], "user_id long")
+    units = spark.createDataFrame([("topic:1", 1, 10, "a"), ("topic:1", 1, 10, "b"), ("kw:a", 1, 10, "a"), ("kw:c", 2, 20, "c")], "knowledge_id string, topic_id long, doc_id long, term string")
+    known = spark.createDataFrame([(1, "a"), (1, "z")], "user_id long, term string")
+    topics = spark.createDataFrame([(1, 1), (2, 2), (2, 9)], "user_id long, topic_id long")
+    reads = spark.createDataFrame([(1, 20), (2, 30)], "user_id long, doc_id long")
+    got = knowledge.classified(users, units, known, topics, reads)
+    told = {(r["user_id"], r["knowledge_id"]): (r["n_terms"], r["n_matched"], r["in_topic"], r["seen"], r["status"]) for r in got.collect()}
+    assert len(told) == 9 and told[1, "topic:1"] == (2, 1, True, False, "known") and told[1, "kw:c"] == (1, 0, False, True, "new")
+    assert told[2, "kw:c"] == (1, 0, True, False, "refine") and told[None, "kw:a"] == (1, 0, False, False, "new")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = knowledge.scored(got, spark.createDataFrame([(10, True), (20, False)], "doc_id long, reliable boolean"))
+        plan = scores._sc._jvm.PythonSQLUtils.explainString(scores._jdf.queryExecution(), "simple")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plan[: plan.index("BroadcastNestedLoopJoin")]
