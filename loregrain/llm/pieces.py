@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import _pieces as slices
 from .common import ddl
@@ -161,11 +162,14 @@ class PieceModel:
         self.ids = {t: i for i, t in enumerate(self.text) if self.kind[i] == NORMAL}
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank = {t: order[scores[i]] for t, i in self.ids.items()}
-        self._number_pairs()
+        self.symbols: int | None = None  # pairs are numbered when the first unit is merged; decoding needs none
         self.units_of = self._splitter().findall
         self.decimal = [str(i) for i in range(len(self.text))]
         self.length = np.array([len(t) if k == NORMAL else 0 for t, k in zip(self.text, self.kind, strict=True)])
         self.byte_value = np.array([self.byte_of.get(i, -1) for i in range(len(self.text))])
+        # what a token stands for wherever it is: all but control and unknown pieces, and bytes of longer characters
+        self.shown = ["" if k in (UNKNOWN, CONTROL) else t.replace(SPACE, " ") if k == NORMAL else chr(self.byte_of[i]) if self.byte_of[i] < 128 else "" for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True))]
+        self.odd = np.isin(self.kind, [UNKNOWN, CONTROL])
         self.now: dict[str, tuple[str, str]] = {}  # ids, as decimals, and text by unit
         self.before: dict[str, tuple[str, str]] = {}
 
@@ -187,6 +191,13 @@ class PieceModel:
 
     def aligned(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and where in the text's bytes each of its characters begins, and the last one ends."""
+        if not self.squeeze and self.map.knows_none_of(text):
+            if not text:
+                return "", np.zeros(1, np.int64)
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            at = np.zeros(len(code) + 1 + self.prefix, np.int64)
+            np.cumsum(1 + (code > 0x7F) + (code > 0x7FF).astype(np.int64) + (code > 0xFFFF), out=at[1 + self.prefix :])
+            return SPACE * self.prefix + text.replace(" ", SPACE), at
         parts = self.map.parts(text)
         sizes = np.fromiter((n for n, _ in parts), np.int64, len(parts))
         at = np.concatenate([[0], np.cumsum(sizes)])
@@ -237,6 +248,8 @@ class PieceModel:
 
     def _merged_together(self, units: list[str]) -> list[list[int]]:
         """The symbols of units by merging: the pair of the best score is joined, the leftmost of equal ones, until no pair makes a piece; a merge of each unit at a time."""
+        if self.symbols is None:
+            self._number_pairs()
         other = self.symbols - 1
         sizes = np.array([*map(len, units)])
         wide = int(sizes.max()) + 1
@@ -320,7 +333,7 @@ class PieceModel:
         if len(self.now) > self.REMEMBERED:
             self.now, self.before = {}, self.now
         new = units.difference(self.now)
-        again = new.intersection(self.before)
+        again = {u for u in new if u in self.before}
         self.now.update((u, self.before[u]) for u in again)
         self.now.update((u, (ids, u.replace(SPACE, " "))) for u, ids in self._encoded([*(new - again)]))
 
@@ -336,7 +349,7 @@ class PieceModel:
 
     def spans(self, found: list[tuple], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and where each piece begins and ends in the text's bytes; bytes before a character's last one have empty spans."""
-        ids = np.array(",".join([f[0] for f in found]).split(",") if found else [], np.int32)
+        ids = np.fromstring(",".join([f[0] for f in found]), np.int32, sep=",") if found else np.zeros(0, np.int32)
         byte = np.append(self.byte_value[ids], -1)
         last = (byte[:-1] >= 0) & ((byte[1:] < 128) | (byte[1:] > 191))  # no other byte of its character follows
         size = self.length[ids] + last
@@ -345,22 +358,42 @@ class PieceModel:
 
     # decoding
 
+    @staticmethod
+    def _text_of(data: bytes) -> str:
+        out = []
+        while data:
+            try:
+                out.append(data.decode())
+                break
+            except UnicodeDecodeError as e:
+                out.append(data[: e.start].decode() + "\ufffd")
+                data = data[e.start + 1 :]
+        return "".join(out)
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each, control pieces nothing."""
+        at = np.asarray(ids, np.int64)
+        if self.squeeze or self.odd[at].any():
+            return self._decoded_in_turn(ids)
+        out = [*map(self.shown.__getitem__, ids)]
+        byte = self.byte_value[at]
+        long = np.flatnonzero(byte > 127)
+        if len(long):
+            for run in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1):
+                out[run[0]] = self._text_of(byte[run].astype(np.uint8).tobytes())
+        if out and self.prefix and byte[0] < 0:
+            out[0] = out[0].removeprefix(" ")
+        return "".join(out)
+
+    def _decoded_in_turn(self, ids: list[int]) -> str:
+        """The same, token by token: what is a space at the start depends on all tokens before."""
         out: list[str] = []
         held = bytearray()
         start = True  # the first space is the dummy prefix
 
         def flush() -> None:
-            data = bytes(held)
+            out.append(self._text_of(bytes(held)))
             held.clear()
-            while data:
-                try:
-                    out.append(data.decode())
-                    break
-                except UnicodeDecodeError as e:
-                    out.append(data[: e.start].decode() + "�")
-                    data = data[e.start + 1 :]
 
         for i in ids:
             if i in self.byte_of:
@@ -444,21 +477,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
 
 def piece_digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs."""
-    shipped = _ship(docs, path)
-
-    def sha(text: str) -> str:
-        return hashlib.sha256(text.encode()).hexdigest()
-
-    def run(batches):
-        model = _model(shipped)
-        for part in slices(batches):
-            found = model.encoded([model.normalized(t or "") for t in part.column("text").to_pylist()])
-            ids = [",".join([f[0] for f in x]) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([i.count(",") + bool(i) for i in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(model.decoded(x)) for x in found], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-        model.forget()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_covered of every row of docs: what ``encode`` and ``decode`` give, in digests. n_covered: bytes of the text in its tokens' spans."""
+    covered = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda s, n: s + n)
+    coded = encode(docs.select("doc_id", "text"), path).select("doc_id", "ids", covered.alias("n_covered"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return decode(coded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_covered")

@@ -98,3 +98,12 @@ def test_rows(spark):
     for r in back:
         assert b"".join((r["text"] or "").encode()[b:e] for b, e in zip(r["begins"], r["ends"], strict=True)) == (r["text"] or "").encode()
     assert pieces.piece_digest(docs.limit(0), PATH).count() == pieces.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_digests_come_from_encode_and_decode(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "é 中 a\n b"), (2, None), (3, " ")], "doc_id long, text string")
+    asked = []
+    for name in ("encode", "decode"):
+        monkeypatch.setattr(pieces, name, lambda df, path, *a, f=getattr(pieces, name), name=name: asked.append(name) or f(df, path, *a))
+    got = {r["doc_id"]: r["n_covered"] for r in pieces.piece_digest(docs, PATH).collect()}
+    assert asked == ["encode", "decode"] and got == {1: 11, 2: 0, 3: 1}
