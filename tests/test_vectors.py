@@ -37,3 +37,23 @@ def test_vectors_without_a_length(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(tuple(r) for r in keywords.similar_vectors(df).select("vec_id", "other_id", "score", "rank").collect()) == [(1, 2, 1.0, 1), (2, 1, 1.0, 1)]
     assert keywords.similar_vectors(df.limit(0)).collect() == []
+
+
+def test_large_groups_cluster_as_small_ones_do_and_shuffle_no_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from loregrain.operators import clusters
+
+    told = [(i, f"w{(5 * i + j * j) % 23}", float(1 + (i * j) % 7)) for i in range(90) for j in range(6) if i % 10]
+    docs = spark.createDataFrame([(g, i) for g in "ab" for i in range(90)] + [("bare", 0), ("bare", 10)], "grp string, doc_id long")
+    weights = spark.createDataFrame(told, "doc_id long, term string, w double")
+    long = weights.join(docs, "doc_id")
+    for by_group in (False, True):
+        rows = clusters.vectors(weights.repartition(3), docs)
+        large = clusters.large_clusters(rows, 4, 5, by_group)
+        small = clusters.clustered(long, docs, 4, 5, by_group)
+        told_of = lambda df: sorted(map(tuple, df.select("grp", "doc_id", "cluster").collect()))
+        assert told_of(large) == told_of(small) and len(told_of(large)) == 182
+        assert large.where("grp = 'bare'").agg(F.max("cluster")).first()[0] == 0
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
