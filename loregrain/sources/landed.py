@@ -112,23 +112,24 @@ def feed_items(feeds: DataFrame, most: int = 3) -> DataFrame:
     guid = F.coalesce(full(F.trim("i.guid")), full(F.col("i.enclosure._url")), full(F.col("i.link")))
     kind = lambda t: F.split_part(F.lower(t["_type"]), F.lit(";"), F.lit(1))
     told = F.get(F.filter("i.transcript", lambda t: kind(t).isin(*TRANSCRIPTS) & (t["_url"] != "")), F.lit(0))
-    feed_id = F.sha2("url", 256)
-    rows = items.select(
-        "url",
-        feed_id.alias("feed_id"),
-        guid.alias("guid"),
-        "at",
-        short_title(F.col("i.title"), guid).alias("title"),
-        resolved(F.coalesce("i.link", F.lit("")), F.col("url")).alias("source_url"),
-        resolved(F.col("i.enclosure._url"), F.col("url")).alias("audio_url"),
-        resolved(told["_url"], F.col("url")).alias("transcript_url"),
-        kind(told).alias("transcript_type"),
-        feed_date(F.col("i.pubDate")).alias("published_at"),
-    ).where("guid is not null")
-    first = rows.groupBy("feed_id", "guid").agg(F.min_by(F.struct(*(c for c in rows.columns if c not in ("feed_id", "guid"))), "at").alias("r")).select("feed_id", "guid", "r.*")
-    place = F.row_number().over(Window.partitionBy("feed_id").orderBy(F.desc_nulls_last("published_at"), "at"))
-    newest = first.withColumn("place", place).where(F.col("place") <= most)
-    return newest.withColumn("item_id", F.sha2(F.concat_ws(":", "feed_id", "guid"), 256)).drop("url", "at")
+    # links are resolved and titles made for the few items that stay
+    told_by = F.struct("at", F.col("i.title").alias("title"), F.col("i.link").alias("link"), F.col("i.enclosure._url").alias("audio"), F.struct(told["_url"].alias("url"), kind(told).alias("type")).alias("transcript"), F.col("i.pubDate").alias("date"))
+    first = items.select("url", guid.alias("guid"), told_by.alias("r")).where("guid is not null").groupBy("url", "guid").agg(F.min_by("r", F.col("r.at")).alias("r"))
+    dated = first.select("url", "guid", "r.*").withColumn("published_at", feed_date(F.col("date")))
+    place = F.row_number().over(Window.partitionBy("url").orderBy(F.desc_nulls_last("published_at"), "at"))
+    newest = dated.withColumn("place", place).where(F.col("place") <= most)
+    rows = newest.select(
+        F.sha2("url", 256).alias("feed_id"),
+        "guid",
+        short_title(F.col("title"), F.col("guid")).alias("title"),
+        resolved(F.coalesce("link", F.lit("")), F.col("url")).alias("source_url"),
+        resolved(F.col("audio"), F.col("url")).alias("audio_url"),
+        resolved(F.col("transcript.url"), F.col("url")).alias("transcript_url"),
+        F.col("transcript.type").alias("transcript_type"),
+        "published_at",
+        "place",
+    )
+    return rows.withColumn("item_id", F.sha2(F.concat_ws(":", "feed_id", "guid"), 256))
 
 
 def union_available(sources: dict[str, Callable[[], DataFrame]], limits: dict[str, int] | None = None) -> tuple[DataFrame | None, dict[str, str]]:

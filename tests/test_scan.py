@@ -71,3 +71,12 @@ def test_tail_goes_on_after_a_restart(spark, tmp_path):
     spark.range(220, 225).select(F.col("id").alias("event_id"), F.lit(0).cast("long").alias("k")).write.mode("append").parquet(rows)
     run()
     assert [i for batch in seen[before:] for i in batch if i >= 220] == list(range(220, 225)) and len({i for batch in seen[before:] for i in batch}) <= 55
+
+
+def test_feed_links_are_resolved_for_the_items_that_stay(spark):
+    from loregrain.sources import landed
+
+    df = spark.createDataFrame([("https://h.org/f/feed.xml", "<rss/>")], "url string, body string")
+    plan = landed.feed_items(df)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Window [", 1)
+    assert "regexp_extract" in above and "^(?:([^:/?#]+):)?" not in below
