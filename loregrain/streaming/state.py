@@ -138,6 +138,8 @@ def retried(outcomes: DataFrame, wait_ms: int = 300_000, attempts: int = 3, late
     """
     keyed_state(outcomes.sparkSession)
     timed = outcomes.withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
+    # rows that only move the clock have done so here; a condition on ts stays above the watermark
+    timed = timed.where(F.when(F.col("kind").isin("failed", "ready", "manual"), F.col("ts")).isNotNull())
     return timed.groupBy("item").transformWithState(Retries(wait_ms, attempts), outputStructType=ATTEMPT, outputMode="Update", timeMode="EventTime")
 
 

@@ -73,3 +73,12 @@ def test_rate_limits_forget(spark, tmp_path):
     assert run(("a", 59), ("b", 61)) == [("a", 0, 3)]  # the third within the minute
     assert run(("b", 62), ("b", 63), ("a", 300)) == [("a", 0, 3), ("b", 60, 3)]
     assert rows_held[-1] == 1  # two windows later all that is over has been forgotten
+
+
+def test_rows_that_only_move_the_clock_reach_no_state(spark):
+    from pyspark.sql import functions as F
+
+    told = spark.readStream.format("rate").load().select(F.lit("a").alias("item"), F.col("value").alias("event_id"), F.lit("clock").alias("kind"), F.col("timestamp").alias("ts"))
+    plan = state.retried(told)._jdf.queryExecution().analyzed().toString()
+    kept, clock = plan.index("Filter"), plan.index("EventTimeWatermark")
+    assert plan.index("TransformWithState") < kept < clock
