@@ -66,3 +66,18 @@ def test_rows_of_users_and_units_are_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange hashpartitioning" not in plan[: plan.index("BroadcastNestedLoopJoin")]
+
+
+def test_counting_holds_few_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loregrain.operators.keywords import _counted
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(4000)], "text": pa.array(["word " * 2000] * 4000)})
+    tracemalloc.start()
+    rows = sum(len(b) for b in _counted([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and peak < 15_000_000
