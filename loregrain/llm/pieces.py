@@ -31,6 +31,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
 NEVER = 1 << 60
+NONE = (1 << 31) - 1
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -238,13 +239,15 @@ class PieceModel:
         self.symbols = size + len(others) + 1
         own = [(self.symbol[t[:i]] * self.symbols + self.symbol[t[i:]], self.rank[t], n) for t, n in self.ids.items() for i in range(1, len(t)) if t[:i] in self.symbol and t[i:] in self.symbol]
         table = np.array(sorted(own) or [(-1, 0, 0)], np.int64)
-        self.pair_keys, self.pair_ranks, self.pair_made = np.ascontiguousarray(table.T)
+        # 32 bits hold the pairs of all but very large models
+        self.whole = np.int32 if self.symbols**2 < NONE else np.int64
+        self.pair_keys, self.pair_ranks, self.pair_made = np.ascontiguousarray(table.T.astype(self.whole))
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and piece of each pair; rank NEVER where it makes none."""
-        key = a * self.symbols + b
+        """Rank and piece of each pair; rank NONE where it makes none."""
+        key = a * self.whole(self.symbols) + b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER), self.pair_made[at]
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.whole(NONE)), self.pair_made[at]
 
     def _merged_together(self, units: list[str]) -> list[list[int]]:
         """The symbols of units by merging: the pair of the best score is joined, the leftmost of equal ones, until no pair makes a piece; a merge of each unit at a time."""
@@ -256,9 +259,9 @@ class PieceModel:
         rows = np.arange(len(units))
         inside = np.arange(wide) < sizes[:, None]
         find = self.symbol.get
-        piece = np.full(inside.shape, -1, np.int64)
+        piece = np.full(inside.shape, -1, self.whole)
         piece[inside] = [find(c, other) for c in "".join(units)]
-        rank, made = np.full(inside.shape, NEVER, np.int64), np.zeros(inside.shape, np.int64)
+        rank, made = np.full(inside.shape, NONE, self.whole), np.zeros(inside.shape, self.whole)
         pair = inside[:, 1:]
         rank[:, :-1][pair], made[:, :-1][pair] = self._pairs(piece[:, :-1][pair], piece[:, 1:][pair])
         after = np.tile(np.arange(1, wide + 1), (len(units), 1))
@@ -266,17 +269,17 @@ class PieceModel:
         todo = rows
         while len(todo):
             at = rank[todo].argmin(axis=1)
-            on = rank[todo, at] < NEVER
+            on = rank[todo, at] < NONE
             todo, at = todo[on], at[on]
             gone = after[todo, at]
             beyond = after[todo, gone]
-            piece[todo, at], piece[todo, gone], rank[todo, gone] = made[todo, at], -1, NEVER
+            piece[todo, at], piece[todo, gone], rank[todo, gone] = made[todo, at], -1, NONE
             after[todo, at], before[todo, np.minimum(beyond, wide - 1)] = beyond, at
             for left, right in ((before[todo, at], at), (at, beyond)):
                 ok = (left >= 0) & (right < wide)
                 ok[ok] = piece[todo[ok], right[ok]] >= 0
                 ended = todo[~ok & (left >= 0)]
-                rank[ended, left[~ok & (left >= 0)]] = NEVER
+                rank[ended, left[~ok & (left >= 0)]] = NONE
                 own = todo[ok]
                 rank[own, left[ok]], made[own, left[ok]] = self._pairs(piece[own, left[ok]], piece[own, right[ok]])
         kept = piece >= 0
@@ -372,18 +375,26 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each, control pieces nothing."""
-        at = np.asarray(ids, np.int64)
-        if self.squeeze or self.odd[at].any():
-            return self._decoded_in_turn(ids)
-        out = [*map(self.shown.__getitem__, ids)]
-        byte = self.byte_value[at]
+        return self.decode_all(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids[ends[i] : ends[i + 1]]."""
+        bounds = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        if self.squeeze or self.odd[ids].any():
+            return [self._decoded_in_turn(ids[low:high].tolist()) for low, high in bounds]
+        shown = [*map(self.shown.__getitem__, ids.tolist())]
+        byte = self.byte_value[ids]
         long = np.flatnonzero(byte > 127)
         if len(long):
-            for run in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1):
-                out[run[0]] = self._text_of(byte[run].astype(np.uint8).tobytes())
-        if out and self.prefix and byte[0] < 0:
-            out[0] = out[0].removeprefix(" ")
-        return "".join(out)
+            # a run of bytes ends with its text
+            apart = (np.diff(long) > 1) | (np.diff(np.searchsorted(ends, long, "right")) > 0)
+            for run in np.split(long, np.flatnonzero(apart) + 1):
+                shown[run[0]] = self._text_of(byte[run].astype(np.uint8).tobytes())
+        if self.prefix:
+            first = ends[:-1][ends[:-1] < ends[1:]]
+            for i in first[byte[first] < 0].tolist():
+                shown[i] = shown[i].removeprefix(" ")
+        return ["".join(shown[low:high]) for low, high in bounds]
 
     def _decoded_in_turn(self, ids: list[int]) -> str:
         """The same, token by token: what is a space at the start depends on all tokens before."""
@@ -470,7 +481,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                text = [model.decode(x or []) for x in part.column(ids).to_pylist()]
+                lists = part.column(ids)
+                ends = np.concatenate([[0], np.cumsum(lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))])
+                text = model.decode_all(lists.flatten().to_numpy(zero_copy_only=False), ends)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*part.schema.names, out])
 
     return df.mapInArrow(run, f"{ddl(df.schema)}, `{out}` string")

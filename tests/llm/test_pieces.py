@@ -107,3 +107,20 @@ def test_digests_come_from_encode_and_decode(spark, monkeypatch):
         monkeypatch.setattr(pieces, name, lambda df, path, *a, f=getattr(pieces, name), name=name: asked.append(name) or f(df, path, *a))
     got = {r["doc_id"]: r["n_covered"] for r in pieces.piece_digest(docs, PATH).collect()}
     assert asked == ["encode", "decode"] and got == {1: 11, 2: 0, 3: 1}
+
+
+def test_texts_decode_together_as_each_alone():
+    import numpy as np
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = pieces.PieceModel(f.read())
+    known = model.ids
+    some = [i for t, i in known.items() if t.startswith(pieces.SPACE)][:3]
+    euro = [model.byte[b] for b in "€".encode()]
+    # bytes of one character that is cut by the end of a text, alone, and whole; spaces at starts; empty texts
+    lists = [[], some, euro[:2], euro[2:], euro, [], [some[0], *euro, some[1]], euro[:1] + some, some[:1], []]
+    ends = np.cumsum([0, *map(len, lists)])
+    together = model.decode_all(np.array([i for own in lists for i in own]), ends)
+    assert together == [model._decoded_in_turn(own) for own in lists]
+    assert together == [model.decode(own) for own in lists]
