@@ -80,15 +80,18 @@ def _added_up(fit: DataFrame, size: int, of) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"v": pa.array([total], pa.list_(pa.float64()))})
 
     def again(batches):
-        total = np.zeros(size)
+        total, some = np.zeros(size), False
         for batch in batches:
             total += _matrix(batch, "v", size).sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"v": pa.array([total], pa.list_(pa.float64()))})
+            some = True
+        if some:
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total], pa.list_(pa.float64()))})
 
     parts = max(1, isqrt(int(fit.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     tasks = fit.select("x").mapInArrow(first, "v array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts)))
     sums = tasks.repartition(parts, "part").select("v").mapInArrow(again, "v array<double>")
-    return np.sum([r["v"] for r in sums.toLocalIterator()], axis=0)
+    # all at once: an iterator runs a job for each partition, and the arrays are few
+    return np.sum([r["v"] for r in sums.collect()], axis=0)
 
 
 def _exact_sums(fit: DataFrame, dims: int) -> tuple[int, list[int]]:

@@ -91,3 +91,15 @@ def test_coordinates_keep_columns(spark):
     assert rows.columns == [*vectors.columns, "whitened"]
     w = np.array([r["whitened"] for r in rows.collect()])
     assert np.allclose(w.T @ w / 50 - np.outer(w.mean(0), w.mean(0)), np.eye(2), atol=1e-9)
+
+
+def test_sums_of_tasks_come_in_one_job(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def never(*_, **__):
+        raise AssertionError("a job for each partition")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", never)
+    rows = spark.createDataFrame([([i, 2 * i],) for i in range(10)], "x array<long>").repartition(5)
+    got = whitening._added_up(rows, 2, lambda batch: whitening._matrix(batch, "x", 2).sum(axis=0))
+    assert got.tolist() == [45, 90]
