@@ -151,11 +151,10 @@ def profile_known_keywords(spark, sf):
 
 def _classes(spark, sf):
     """Documents of units, units, and users with all of these."""
-    docs, terms, counts, events, topics, reads, known = _profile(spark, sf, of_units=True)
+    _, terms, counts, events, topics, reads, known = _profile(spark, sf, of_units=True)
     users = events.select("user_id").distinct()
     units = tables.staged(knowledge.knowledge_units(terms, counts), "units")
-    own = docs.join(F.broadcast(units.select("doc_id").distinct()), "doc_id", "left_semi")
-    return own, knowledge.classified(users, units, known, topics, reads)
+    return tables.documents(spark, sf, units), knowledge.classified(users, units, known, topics, reads)
 
 
 @query
