@@ -11,8 +11,8 @@ def topic_counts(docs: DataFrame) -> DataFrame:
 
 
 def topic_terms(keywords: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """(topic_id, term, weight, doc_id, rank): each topic's k best terms with their best document."""
-    rows = keywords.join(docs.select("doc_id", "topic_id"), "doc_id")
+    """(topic_id, term, weight, doc_id, rank): each topic's k best terms with their best document. Keywords that come with their topic_id are not joined with docs."""
+    rows = keywords.where("doc_id is not null") if "topic_id" in keywords.columns else keywords.join(docs.select("doc_id", "topic_id"), "doc_id")
     best = rows.groupBy("topic_id", "term").agg(F.max("weight").alias("weight"), F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("doc_id"))
     place = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("weight"), "term"))
     return best.withColumn("rank", place).where(F.col("rank") <= k)

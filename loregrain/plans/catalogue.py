@@ -114,7 +114,7 @@ def kmeans_topics(spark, sf):
 
 def _topics(spark, sf):
     docs = _docs(spark, sf)
-    top = tables.staged(keywords.top_keywords(docs), "top-keywords")
+    top = tables.staged(keywords.top_keywords(docs, keep=("topic_id",)), "top-keywords")
     return docs, top, tables.staged(knowledge.topic_terms(top, docs), "topic-terms"), knowledge.topic_counts(docs)
 
 
