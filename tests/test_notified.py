@@ -21,3 +21,17 @@ def test_notified(spark):
     assert "Exchange" not in plan[: plan.index("Join")]
     # an episode of two feeds is told once
     assert told([*episodes, (2, 10, 9)])[1] == rows
+
+
+def test_the_result_is_small_where_it_is_written(spark, tmp_path):
+    episodes = spark.range(2000).selectExpr("id % 2 feed_id", "id * 7919 % 2000 episode_id", "id * 7919 % 2000 ready_at")
+    followed = spark.range(1000).selectExpr("100000 + id user_id", "id % 2 feed_id", "id * 31 % 300 created_at")
+    sent = spark.range(500).selectExpr("100000 + id user_id", "id * 3 episode_id")
+    feeds.notified(episodes, followed, sent).write.parquet(f"{tmp_path}/told")
+    got = spark.read.parquet(f"{tmp_path}/told")
+    plain = episodes.join(followed, "feed_id").where("created_at <= ready_at").select("user_id", "episode_id").exceptAll(sent)
+    assert got.count() == plain.count() and got.exceptAll(plain).isEmpty()
+    files = list((tmp_path / "told").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 0.6 * got.count()
+    # several tasks write it, however little is shuffled
+    assert len(files) > 2
